@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbuf import Texts, carried, held_out, record, steps, texts_of, with_carried
+from .textbuf import Texts, held_out, record, steps, texts_of, with_carried
 from .training import sample
 
 #: Columns of a presence matrix, rows fitted per language at most, and landmarks per language at most.
@@ -106,9 +106,10 @@ def identify(docs: DataFrame, per_language: int = PER_LANGUAGE, carry: list[str]
                     names[a : a + 512] = np.array(model.languages, object)[best]
                     score[a : a + 512] = e.max(axis=1) / e.sum(axis=1)
                 names[~known], score[~known] = UNKNOWN, 0.0
-            yield carried(record(schema, batch.column(0), batch.column(2), pa.array(names.tolist(), pa.string()), score), batch, 3)
+            made = record(schema, batch.column(0), batch.column(2), pa.array(names.tolist(), pa.string()), score)
+            yield pa.RecordBatch.from_arrays([*made.columns, *(batch.column("_text" if c == "text" else c) for c in carry)], names=[*made.schema.names, *carry])
 
-    rows = docs.select("doc_id", F.col("text").alias("_text"), held_out().alias("_held_out"), *carry)
+    rows = docs.select("doc_id", F.col("text").alias("_text"), held_out().alias("_held_out"), *(c for c in carry if c != "text"))
     return rows.mapInArrow(run, with_carried("doc_id long, held_out boolean, lang_pred string, score double", docs, carry))
 
 

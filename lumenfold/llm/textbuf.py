@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Bytes of text that one vectorised step works on; a longer single text is a step of its own.
-STEP_BYTES = 2 << 20
+STEP_BYTES = (1 << 20) - (1 << 16)
 NULL_ID = -(2**63)
 
 
@@ -56,6 +58,14 @@ def steps(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             part = whole.off[at : to + 1]
             yield batch.slice(at, to - at), Texts(whole.buf[part[0] : part[-1]], part - part[0])
             at = to
+    release()
+
+
+def release() -> None:
+    """Gives memory that a task has freed back to the system: workers wait for their next task beside others."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def id_array(ids: pa.Array) -> np.ndarray:

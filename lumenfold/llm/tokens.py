@@ -26,7 +26,7 @@ LIMIT = 1024
 #: Bytes of a chunk whose state map is composed with others'.
 CHUNK = 256
 #: Distinct spans that a worker's lexicon holds before it starts anew.
-LEXICON = 1 << 21
+LEXICON = 1 << 20
 
 # Symbols: what a byte is to the pre-tokenizer.
 END, LETTER, NUMBER, OTHER, SHORT, LONG, LEAD_SPACE, LAST_SPACE, SPACE, INNER = range(10)
@@ -147,8 +147,8 @@ class Lexicon:
         self.clear()
 
     def clear(self) -> None:
-        self.slots = np.zeros(4 * self.size, np.uint64)
-        self.places = np.full(4 * self.size, -1, np.int32)
+        self.slots = np.zeros(2 * self.size, np.uint64)
+        self.places = np.full(2 * self.size, -1, np.int32)
         self.n, self.used = 0, 0
         self.off = np.zeros(1024, np.int64)
         self.ids = np.zeros(4096, np.uint32)
