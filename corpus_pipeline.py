@@ -18,7 +18,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that at least three of them have; n_chars, where there is one, follows the text."""
-    kept = linededup.dedup_lines(docs, carry=others(docs))
+    kept = linededup.dedup_lines(docs, carry=others(docs), prefix="_own_")
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns) if "n_chars" in docs.columns else kept.select(docs.columns)
 
 

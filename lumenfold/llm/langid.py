@@ -81,16 +81,17 @@ def fit(texts: list[bytes], labels: list[str]) -> Model | None:
     return Model(languages, z, root @ w)
 
 
-def identify(docs: DataFrame, per_language: int = PER_LANGUAGE, carry: list[str] = ()) -> DataFrame:
+def identify(docs: DataFrame, per_language: int = PER_LANGUAGE, carry: list[str] = (), prefix: str = "") -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score.
 
     Fitted on at most per_language rows a language of `docs` that aren't held out and have a text and a lang; without any, all are `und`. Null texts and texts without
     a letter are `und` with score 0. Otherwise lang_pred is a learned value and score its share of the softmax; equal scores go to the first language in
     order. Null doc_ids aren't held out and stay null; repeated rows give repeated rows; an empty table gives an empty result. Columns named in carry follow; others are ignored.
+    prefix goes before held_out, lang_pred and score, for tables with such columns of their own.
     """
     model = fit(*sample(docs, docs, "lang", per_language)[:2])
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
+    schema = pa.schema([("doc_id", pa.int64()), (f"{prefix}held_out", pa.bool_()), (f"{prefix}lang_pred", pa.string()), (f"{prefix}score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
@@ -109,10 +110,10 @@ def identify(docs: DataFrame, per_language: int = PER_LANGUAGE, carry: list[str]
             made = record(schema, batch.column(0), batch.column(2), pa.array(names.tolist(), pa.string()), score)
             yield pa.RecordBatch.from_arrays([*made.columns, *(batch.column("_text" if c == "text" else c) for c in carry)], names=[*made.schema.names, *carry])
 
-    rows = docs.select("doc_id", F.col("text").alias("_text"), held_out().alias("_held_out"), *(c for c in carry if c != "text"))
-    return rows.mapInArrow(run, with_carried("doc_id long, held_out boolean, lang_pred string, score double", docs, carry))
+    rows = docs.select("doc_id", F.col("text").alias("_text"), held_out().alias("_own_held_out"), *(c for c in carry if c != "text"))
+    return rows.mapInArrow(run, with_carried(f"doc_id long, {prefix}held_out boolean, {prefix}lang_pred string, {prefix}score double", docs, carry))
 
 
 def accepted(docs: DataFrame, per_language: int = PER_LANGUAGE, least: float = 0.0) -> DataFrame:
     """`docs` without the documents whose language is `und` or scores below `least`; all columns stay."""
-    return identify(docs, per_language, [c for c in docs.columns if c != "doc_id"]).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(docs.columns)
+    return identify(docs, per_language, [c for c in docs.columns if c != "doc_id"], "_own_").filter((F.col("_own_lang_pred") != UNKNOWN) & (F.col("_own_score") >= least)).select(docs.columns)

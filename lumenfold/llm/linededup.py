@@ -136,17 +136,17 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int =
     return each.groupBy("k0", "k1").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep")).filter(F.col("n") >= min_docs).select("k0", "k1", "keep")
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, bound: int = BOUND, segments: int | None = None, carry: list[str] = ()) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, bound: int = BOUND, segments: int | None = None, carry: list[str] = (), prefix: str = "") -> DataFrame:
     """One row per document: doc_id, n_lines, n_dropped, text (the kept lines, joined by a newline).
 
     A line's key is the line stripped of ASCII white space and A-Z lower-cased. Keys of at least min_chars code points in at least min_docs documents lose
     all their lines except in the largest doc_id holding them. Null and empty texts are one empty line. Rows that share a doc_id count as one document and all
     keep their lines if it is the largest; null doc_ids together count as one document, the smallest. Columns named in carry
-    follow, others are ignored; an empty table gives an empty result.
+    follow, others are ignored; prefix goes before n_lines and n_dropped, for tables with such columns of their own; an empty table gives an empty result.
     """
     lines = stored(repeated_lines(docs, min_chars, min_docs, bound, segments))
-    schema = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("text", pa.string())])
-    result = with_carried("doc_id long, n_lines long, n_dropped long, text string", docs, carry)
+    schema = pa.schema([("doc_id", pa.int64()), (f"{prefix}n_lines", pa.int64()), (f"{prefix}n_dropped", pa.int64()), ("text", pa.string())])
+    result = with_carried(f"doc_id long, {prefix}n_lines long, {prefix}n_dropped long, text string", docs, carry)
 
     def cut(batch: pa.RecordBatch, texts, drops) -> pa.RecordBatch:
         total, dropped, kept = [], [], []
