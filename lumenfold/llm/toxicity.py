@@ -9,7 +9,6 @@ Insults and threats are seeded and, with their weights, learned from labelled ro
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import product
@@ -25,6 +24,8 @@ from .training import sample
 
 #: Rows fitted per label at most; least documents that a learned word needs; bytes of a learned stem.
 PER_LABEL, SUPPORT, STEM = 1500, 3, 6
+#: Labelled texts that are read together.
+PART = 200
 
 WORD, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 #: Seed words of the grammar (fixed values), in English, German, French and Spanish.
@@ -198,32 +199,56 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     return w
 
 
+def _frequencies(columns: list[Texts], y: np.ndarray, support: int) -> list[list[tuple[int, int, int]]]:
+    """Of words, and of stems: (hash, toxic texts, other texts) for those in at least `support` toxic texts."""
+
+    def distinct(label: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for k, column in enumerate(columns):
+            t = tokens_of(column)
+            keep = y[PART * k + t.text] == label
+            row = t.text[keep].astype(np.uint64)
+            yield tuple(_once(h[keep], row) for h in (t.word, t.stem))
+
+    toxic = [np.unique(np.concatenate(x), return_counts=True) for x in zip(*distinct(1))]
+    chosen = [(h[n >= support], n[n >= support]) for h, n in toxic]
+    others = [np.zeros(len(h), np.int64) for h, _ in chosen]
+    for found in distinct(0):
+        for (h, _), count, seen in zip(chosen, others, found):
+            if len(h):
+                place = np.minimum(np.searchsorted(h, seen), len(h) - 1)
+                count += np.bincount(place[h[place] == seen], minlength=len(h))
+    return [[(int(a), int(b), int(c)) for a, b, c in zip(h, n, count) if a] for (h, n), count in zip(chosen, others)]
+
+
+def _once(h: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """The hashes of each row, once a row."""
+    order = np.lexsort((h, row))
+    h, row = h[order], row[order]
+    first = np.ones(len(h), bool)
+    first[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    return h[first]
+
+
 def fit(texts: list[bytes], labels: list[int], sizes: dict) -> Grammar:
     """Learned words are those whose document frequency among toxic rows exceeds what the others and their length lead one to expect."""
     classes = {_hash(w): (c, SEED_WEIGHT if c in (INSULT, THREAT) else 0.0) for c, words in SEEDS.items() for w in words.split()}
     y = np.array(labels, np.int64)
     if not len(y) or y.min() == y.max():
         return Grammar(classes, {}, np.array([-3.0, 1.0, 0.5, 0.5, 0.5, 0, 0, 0, 0]))
-    column = texts_of(pa.array(texts, pa.binary()).cast(pa.string()))
-    t = tokens_of(column)
-    words, stems = (Counter(), Counter()), (Counter(), Counter())
-    bounds = np.searchsorted(t.text, np.arange(len(texts) + 1))
-    for i in range(len(texts)):
-        a, b = bounds[i], bounds[i + 1]
-        words[y[i]].update(np.unique(t.word[a:b]).tolist())
-        stems[y[i]].update(np.unique(t.stem[a:b][t.stem[a:b] != 0]).tolist())
+    columns = [texts_of(pa.array(texts[i : i + PART], pa.binary()).cast(pa.string())) for i in range(0, len(texts), PART)]
+    words, stems = _frequencies(columns, y, SUPPORT)
     n0, n1 = (y == 0).sum(), (y == 1).sum()
 
     def weight(df1: int, df0: int) -> float:
         return math.log((df1 + 0.5) / (n1 + 1)) - math.log((df0 + 0.5) / (n0 + 1)) - 1.0 / math.sqrt(df1)
 
-    learned = {h: w for h, k in words[1].items() if k >= SUPPORT and (w := weight(k, words[0][h])) >= LEAST_WEIGHT}
+    learned = {h: w for h, k, other in words if (w := weight(k, other)) >= LEAST_WEIGHT}
     for h, w in learned.items():
         if classes.get(h, (INSULT,))[0] in (INSULT, THREAT):
             classes[h] = classes.get(h, (INSULT,))[0], w
-    common = {h: w for h, k in stems[1].items() if k >= 2 * SUPPORT and (w := weight(k, stems[0][h])) >= 1.5 * LEAST_WEIGHT}
+    common = {h: w for h, k, other in stems if k >= 2 * SUPPORT and (w := weight(k, other)) >= 1.5 * LEAST_WEIGHT}
     grammar = Grammar(classes, common, np.zeros(9))
-    x = _expanded(grammar.features(column))
+    x = _expanded(np.concatenate([grammar.features(c) for c in columns]))
     prior = np.where(y == 1, sizes[1] / n1, sizes[0] / n0)
     grammar.curve = _logistic(x, y, prior / prior.mean())
     return grammar
