@@ -69,3 +69,91 @@ def planar(samples: Column, channels: int) -> Column:
 
 def packed_frame_bytes(rows: Column, columns: Column, samples: Column, bits: Column) -> Column:
     return rows.cast("long") * columns * samples * F.ceil(bits / 8)
+
+
+def lut_descriptor(values: Column, signed: Column) -> Column:
+    """(entries, first, bits) of a descriptor's three numbers: 0 entries are 65536; null unless there are three and 1 to 16 bits."""
+    first = F.when(signed & (values[1] > 32767), values[1] - 65536).otherwise(values[1])
+    right = (F.size(values) == 3) & F.get(values, F.lit(2)).between(1, 16)
+    return F.when(right, F.struct(lut_entries(values[0]).alias("entries"), first.alias("first"), values[2].alias("bits")))
+
+
+def expand_segments(data: list[int], bits: int) -> list[int]:
+    """A segmented lookup table's entries: discrete, linear and indirect segments; ValueError for a broken one.
+
+    Work waiting is a stack of (position, segments left, reader is nested), so a chain of references needs no recursion.
+    """
+    mask, wide, out = (1 << bits) - 1, bits > 8, []
+    stack: list[list] = [[0, None]]
+    budget = 65536 * 4
+    while stack:
+        at, left = stack[-1]
+        budget -= 1
+        if budget < 0 or len(out) > 65536:
+            raise ValueError("segments don't end")
+        if at + 1 >= len(data) or left == 0:
+            stack.pop()
+            continue
+        kind, n = data[at], data[at + 1]
+        at += 2
+        body = n if kind == 0 else 1 if kind == 1 else (2 if wide else 4) if kind == 2 else None
+        if body is None:
+            raise ValueError(f"no segment kind {kind}")
+        if at + body > len(data):
+            raise ValueError("a segment is cut off")
+        part = data[at : at + body]
+        stack[-1] = [at + body, None if left is None else left - 1]
+        if kind == 0:
+            out += [v & mask for v in part]
+            continue
+        if not out:
+            raise ValueError("no entry to go on from")
+        if kind == 1:
+            y, end = out[-1], part[0] & mask
+            out += [int(y + (end - y) / n * k + 0.5) & mask for k in range(1, n + 1)]
+            continue
+        to = sum(v << (16 if wide else 8) * i for i, v in enumerate(part))
+        if to >= len(data):
+            raise ValueError("a reference leads out")
+        if n:
+            stack.append([to, n])
+        elif to + 1 < len(data):
+            stack.append([to, None])
+    return out
+
+
+def ybr_to_rgb(y: Column, cb: Column, cr: Column, partial: bool = False) -> Column:
+    """Truncated 8-bit red, green and blue; partial range expands luma first."""
+    b, r = cb - 128.0, cr - 128.0
+    if partial:
+        luma = 1.16438356 * (y - 16.0)
+        parts = (luma + 1.59602678 * r, luma - 0.39176229 * b - 0.81296764 * r, luma + 2.01723214 * b)
+    else:
+        luma = y.cast("double")
+        parts = (luma + 1.402 * r, luma - 0.344136 * b - 0.714136 * r, luma + 1.772 * b)
+    return F.struct(*(F.least(F.greatest(p, F.lit(0.0)), F.lit(255.0)).cast("int").alias(n) for p, n in zip(parts, "rgb")))
+
+
+def display(samples: Column, photometric: Column, center: Column, width: Column, function: str = "linear", voi: Column | None = None, voi_first: Column | None = None, voi_bits: Column | None = None) -> Column:
+    """Monochrome samples as 0..255: the window where there is one, else the VOI table, else minimum to maximum; MONOCHROME1 is inverted."""
+    shown = min_max(samples)
+    if voi is not None:
+        top = F.pow(F.lit(2), voi_bits) - 1
+        shown = F.when(voi.isNotNull(), F.transform(samples, lambda v: (lut(v, voi, voi_first) * 255.0 / top).cast("int"))).otherwise(shown)
+    shown = F.when(center.isNotNull() & width.isNotNull(), F.transform(samples, lambda v: window(v, center, width, function))).otherwise(shown)
+    return F.when(photometric == "MONOCHROME1", F.transform(shown, lambda v: 255 - v)).otherwise(shown)
+
+
+def integer_kind(low: Column, high: Column) -> Column:
+    """The smallest integer kind for a range, unsigned ones first."""
+    kind = F.when(low.isNull() | high.isNull(), F.lit(None))
+    for bits in (8, 16, 32):
+        kind = kind.when((low >= 0) & (high < 2**bits), f"uint{bits}")
+    kind = kind.when(low >= 0, "uint64")
+    for bits in (8, 16, 32):
+        kind = kind.when((low >= -(2 ** (bits - 1))) & (high < 2 ** (bits - 1)), f"int{bits}")
+    return kind.otherwise("int64")
+
+
+def keeps_integers(slope: Column, intercept: Column, tolerance: float = 1e-6) -> Column:
+    return (F.abs(slope - 1) <= tolerance) & (F.abs(intercept - F.round(intercept)) <= tolerance)

@@ -62,7 +62,61 @@ SegmentNumber 00620004 US
 SegmentLabel 00620005 LO
 SharedFunctionalGroupsSequence 52009229 SQ
 PerFrameFunctionalGroupsSequence 52009230 SQ
+RTVCommunicationSOPInstanceUID 00020033 UI
+ReferencedSOPInstanceUIDInFile 00041511 UI
+InstanceCreationDate 00080012 DA
+AccessionNumber 00080050 SH
+MultiFrameSourceSOPInstanceUID 00081167 UI
+SourceImageSequence 00082112 SQ
+DerivationImageSequence 00089124 SQ
+VolumetricProperties 00089206 CS
+SOPInstanceUIDOfConcatenationSource 00200242 UI
+SynchronizationFrameOfReferenceUID 00200200 UI
+FrameContentSequence 00209111 SQ
+PlanePositionSequence 00209113 SQ
+PlaneOrientationSequence 00209116 SQ
+DimensionIndexValues 00209157 UL
+DimensionIndexSequence 00209222 SQ
+VolumeFrameOfReferenceUID 00209312 UI
+TableFrameOfReferenceUID 00209313 UI
+FrameIncrementPointer 00280009 AT
+NumberOfSegments 00280120 US
+WindowCenterWidthExplanation 00281055 LO
+VOILUTFunction 00281056 CS
+RedPaletteColorLookupTableDescriptor 00281101 US
+GreenPaletteColorLookupTableDescriptor 00281102 US
+BluePaletteColorLookupTableDescriptor 00281103 US
+RedPaletteColorLookupTableData 00281201 OW
+GreenPaletteColorLookupTableData 00281202 OW
+BluePaletteColorLookupTableData 00281203 OW
+SegmentedRedPaletteColorLookupTableData 00281221 OW
+SegmentedGreenPaletteColorLookupTableData 00281222 OW
+SegmentedBluePaletteColorLookupTableData 00281223 OW
+LossyImageCompressionRatio 00282112 DS
+LossyImageCompressionMethod 00282114 CS
+ModalityLUTSequence 00283000 SQ
+LUTDescriptor 00283002 US
+LUTData 00283006 OW
+VOILUTSequence 00283010 SQ
+PixelMeasuresSequence 00289110 SQ
+FrameVOILUTSequence 00289132 SQ
+PixelValueTransformationSequence 00289145 SQ
+SliceVector 00540080 US
+SegmentationType 00620001 CS
+SegmentAlgorithmType 00620008 CS
+SegmentIdentificationSequence 0062000A SQ
+ReferencedSegmentNumber 0062000B US
+MaximumFractionalValue 0062000E US
+SegmentationFractionalType 00620010 CS
+SourceFrameOfReferenceUID 00640003 UI
+ReferencedFrameOfReferenceUID 30060024 UI
+RelatedFrameOfReferenceUID 300600C2 UI
+EquipmentFrameOfReferenceUID 300A0675 UI
 OverlayRows 60xx0010 US
+ExtendedOffsetTable 7FE00001 OV
+ExtendedOffsetTableLengths 7FE00002 OV
+FloatPixelData 7FE00008 OF
+DoubleFloatPixelData 7FE00009 OD
 PixelData 7FE00010 OW
 """
 ENTRIES = [tuple(line.split()) for line in DICTIONARY.split("\n") if line]
