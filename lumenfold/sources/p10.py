@@ -51,6 +51,33 @@ class Broken(ValueError):
     pass
 
 
+@dataclass
+class Fragments:
+    """Encapsulated frames to be written: one fragment each, after a basic offset table."""
+
+    frames: list[bytes]
+
+
+def nested(found: list[Element]) -> list[tuple]:
+    """(tag, vr, value) rows as `write` takes them, from elements in preorder: the value of a sequence is its items' rows."""
+    root: list[tuple] = []
+    items: dict[str, list[tuple]] = {"": root}
+    values: dict[str, list] = {}
+    for e in found:
+        if e.parent not in items:
+            owner, _, number = e.parent.rpartition(".")
+            while len(values[owner]) <= int(number):
+                values[owner].append([])
+            items[e.parent] = values[owner][int(number)]
+        value: object = e.raw
+        if e.vr == "SQ":
+            value = values[e.path] = []
+        elif e.fragments:
+            value = Fragments(e.fragments[1:])
+        items[e.parent].append((e.tag, e.vr, value if value is not None else b""))
+    return root
+
+
 def decode_text(raw: bytes, charset: str, policy: str = "strict") -> str | None:
     """strict: null on a bad byte; replace_fffd; replace_hex_escape: each bad byte as (0xHH)."""
     codec = CHARSETS.get(charset.strip())
@@ -215,8 +242,15 @@ def _encode(tag: int, vr: str, value: object, explicit: bool, big: bool) -> byte
     order = ">" if big else "<"
     if vr == "SQ":
         raw = b"".join(struct.pack(order + "HHI", 0xFFFE, 0xE000, len(x)) + x for x in (b"".join(_encode(*e, explicit=explicit, big=big) for e in item) for item in value))
+    elif isinstance(value, Fragments):
+        padded = [f + b"\0" * (len(f) % 2) for f in value.frames]
+        starts = np.cumsum([0, *(8 + len(f) for f in padded)])[:-1].astype("<u4").tobytes()
+        raw = b"".join(struct.pack(order + "HHI", 0xFFFE, 0xE000, len(x)) + x for x in (starts, *padded)) + struct.pack(order + "HHI", 0xFFFE, 0xE0DD, 0)
+        return struct.pack(order + "HH", tag >> 16, tag & 0xFFFF) + vr.encode() + b"\0\0" + struct.pack(order + "I", UNDEFINED) + raw
     elif isinstance(value, bytes):
         raw = value
+        if big and vr in SWAPPED and len(raw) % SWAPPED[vr] == 0:
+            raw = np.frombuffer(raw, f"<u{SWAPPED[vr]}").astype(f">u{SWAPPED[vr]}").tobytes()
     elif isinstance(value, str):
         raw = value.encode()
     else:
