@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.tags import tag_of
+from ..functions.tags import lookup, tag_of
 
 
 def by_keyword(elements: DataFrame, keyword: str) -> DataFrame:
@@ -90,3 +90,70 @@ def split_payload(rows: DataFrame, key: str, payload: str) -> tuple[DataFrame, D
 
 def join_payload(meta: DataFrame, payload: DataFrame, key: str) -> DataFrame:
     return meta.join(payload, key, "left")
+
+
+def private(elements: DataFrame, group: int, element: int, creator: str) -> DataFrame:
+    """Elements `gggg,xxee` of a private creator: those in the block that the creator's element (gggg,00bb) reserves in the same dataset.
+
+    A group of an even number is an error; an unknown creator gives no rows. The lowest block counts where there are several.
+    """
+    if group % 2 == 0:
+        raise ValueError(f"group {group:04X} is not private")
+    base = group << 16
+    same = ["instance_id", "parent_path"]
+    named = elements.filter(F.col("tag").between(base + 0x10, base + 0xFF) & (F.btrim(F.col("text"), F.lit(" \0")) == creator))
+    blocks = named.groupBy(*same).agg((F.min("tag") % 256).alias("_block"))
+    wanted = elements.filter((F.shiftright("tag", 16) == group) & (F.col("tag") % 256 == element) & (F.shiftright("tag", 8) % 256 >= 0x10))
+    return wanted.join(blocks, same).filter(F.shiftright("tag", 8) % 256 == F.col("_block")).drop("_block").select(*elements.columns)
+
+
+def with_value(elements: DataFrame, tag: str, value: Column, vr: str | None = None) -> DataFrame:
+    """Root elements with a text of their own set in every instance: replaced where the tag is there, else added; VR from the dictionary."""
+    code = _known(tag)
+    kind = vr or (lookup(code) or (None, "UN"))[1]
+    return add_missing(elements, code, kind).withColumns(_reset(elements, (F.col("tag_hex") == code) & (F.col("depth") == 0), value, kind))
+
+
+def _known(tag: str) -> str:
+    code = tag_of(tag)
+    if code is None:
+        raise ValueError(f"unknown tag {tag}")
+    return code
+
+
+def _reset(elements: DataFrame, here: Column, value: Column, vr: str) -> dict[str, Column]:
+    new = {"text": value, "vr": F.lit(vr), "length": F.length(value).cast("bigint"), "vm": F.when(F.length(value) > 0, 1).otherwise(0), "strings": F.array(value)}
+    return {c: F.when(here, new[c].cast(t) if c in new else F.lit(None).cast(t)).otherwise(F.col(c)) for c, t in elements.dtypes if c in new or c in ("raw", "longs", "doubles")}
+
+
+def add_missing(elements: DataFrame, tag: str, vr: str | None = None) -> DataFrame:
+    """The same elements, and an empty root element in instances without it; ordinal is null for new rows, tags give the order."""
+    code = _known(tag)
+    kind = vr or (lookup(code) or (None, "UN"))[1]
+    has = F.max((F.col("tag_hex") == code) & (F.col("depth") == 0)).alias("_has")
+    without = elements.groupBy("instance_id").agg(has).filter("NOT coalesce(_has, false)").select("instance_id")
+    fixed = {"path": F.lit(code), "depth": F.lit(0), "parent_path": F.lit(""), "tag": F.lit(int(code, 16)), "tag_hex": F.lit(code), "keyword": F.lit((lookup(code) or (None,))[0]), "vr": F.lit(kind), "vm": F.lit(0), "length": F.lit(0), "present": F.lit(True)}
+    new = without.select("instance_id", *(fixed.get(c, F.lit(None)).cast(t).alias(c) for c, t in elements.dtypes if c != "instance_id"))
+    return elements.unionByName(new)
+
+
+def without(elements: DataFrame, path: str) -> DataFrame:
+    """No element at a path, nor anything below it."""
+    return elements.filter(~((F.col("path") == path) | F.startswith(F.col("path"), F.lit(path + "."))))
+
+
+def nearest_charset(elements: DataFrame) -> DataFrame:
+    """elements with the SpecificCharacterSet of their own dataset or of the nearest one around it (`charset`), null without any.
+
+    Each row looks its ancestors up in a map of its instance's character sets, which has an entry for each dataset that names one.
+    """
+    sets = elements.filter("tag_hex = '00080005'").groupBy("instance_id").agg(F.map_from_entries(F.collect_list(F.struct("parent_path", "text"))).alias("_sets"))
+    parts = F.split(F.col("parent_path"), r"\.")
+    levels = F.when(F.col("parent_path") == "", F.lit(0)).otherwise(F.size(parts) / 2).cast("int")
+    above = F.transform(F.sequence(levels, F.lit(0), F.lit(-1)), lambda n: F.try_element_at(F.col("_sets"), F.array_join(F.slice(parts, F.lit(1), n * 2), ".")))
+    return elements.join(sets, "instance_id", "left").withColumn("charset", F.get(F.filter(above, lambda c: c.isNotNull()), F.lit(0))).drop("_sets")
+
+
+def duplicates_last(rows: DataFrame, keys: list[str], order: str, values: list[str]) -> DataFrame:
+    """The last row of equal keys."""
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), order).alias("_v")).select(*keys, "_v.*")

@@ -43,3 +43,57 @@ def mask(sample: Column, kind: str, threshold: float = 0.5, most: Column | None
 def catalogue_errors(segments: DataFrame, number: str) -> DataFrame:
     """Segment numbers that occur more than once."""
     return segments.groupBy(number).agg(F.count("*").alias("n")).filter("n > 1")
+
+
+def undefined(frames: DataFrame, segments: DataFrame, number: str) -> DataFrame:
+    """Frames whose segment number no segment has: errors of a segmentation."""
+    return frames.join(segments.select(number).distinct(), number, "left_anti")
+
+
+def segment_frames(segments: DataFrame, frames: DataFrame, number: str, frame: str) -> DataFrame:
+    """(number, n_frames, frames in order) of every segment, with 0 and an empty list for one without frames."""
+    counted = frames.groupBy(number).agg(F.count("*").alias("n_frames"), F.sort_array(F.collect_list(frame)).alias("frames"))
+    kind = dict(counted.dtypes)["frames"]
+    out = segments.select(number).distinct().join(counted, number, "left")
+    return out.select(number, F.coalesce("n_frames", F.lit(0)).alias("n_frames"), F.coalesce("frames", F.array().cast(kind)).alias("frames"))
+
+
+def set_bits(frames: DataFrame, samples: str, label: str, slice_index: str, columns: Column) -> DataFrame:
+    """A voxel row (label, x, y, z) for each set byte of single-bit frames; an array of bytes goes no further than its row."""
+    order = F.posexplode(F.transform(F.sequence(F.lit(1), F.length(samples)), lambda i: F.substring(F.col(samples), i, F.lit(1)) != F.lit(b"\0"))).alias("i", "on")
+    flat = frames.filter(F.length(samples) > 0).select(label, F.col(slice_index).alias("z"), columns.alias("_n"), order).filter("on")
+    return flat.select(label, (F.col("i") % F.col("_n")).alias("x"), F.floor(F.col("i") / F.col("_n")).cast("int").alias("y"), "z")
+
+
+def volume(voxels: DataFrame, keys: list[str], label: str, overlap: str = "maybe") -> DataFrame:
+    """A row per voxel: keys, labels (sorted distinct), code. Codes number the distinct sets from 1 in order; 0 is the background, which has no row.
+
+    overlap `no` makes a voxel of several labels keep the last painted, the largest label; `maybe` and `yes` keep all.
+    Distinct sets pass through one window, and a code beyond 65,535 or a set beyond 128 labels is `over_limit`: sets are bounded by that format, voxels are not.
+    """
+    sets = label_sets(voxels, keys, label)
+    if overlap == "no":
+        sets = sets.withColumn("labels", F.slice("labels", -1, 1))
+    out = sets.join(F.broadcast(set_codes(sets)), "labels")
+    return out.select(*keys, "labels", "code", ((F.size("labels") > MAX_SET) | (F.col("code") > MAX_CODE)).alias("over_limit"))
+
+
+def restored(painted: DataFrame, label) -> DataFrame:
+    """The voxels of one label: those of the codes whose sets have it."""
+    return painted.filter(F.array_contains("labels", label))
+
+
+def codes_of(sets: DataFrame, label) -> DataFrame:
+    return set_codes(sets).filter(F.array_contains("labels", label)).select("code")
+
+
+def colours(codes: DataFrame, table: DataFrame, label: str) -> DataFrame:
+    """(code, r, g, b, a): a set takes the mean colour of its labels' rows (label, r, g, b, a), rounded down; labels without a colour don't count."""
+    each = codes.select("code", F.explode("labels").alias(label)).join(F.broadcast(table), label, "left")
+    return each.groupBy("code").agg(*(F.coalesce(F.floor(F.avg(c)).cast("int"), F.lit(0)).alias(c) for c in ("r", "g", "b", "a")))
+
+
+def write_errors(segmentation_type: Column, bits: Column, photometric: Column, samples: Column, lossy_target: Column) -> Column:
+    """Why segmentation pixels may not be written, or null: BINARY has single bits, FRACTIONAL 8 bits, LABELMAP 8 or 16; one sample; lossless targets only."""
+    right = F.when(segmentation_type == "BINARY", bits == 1).when(segmentation_type == "FRACTIONAL", bits == 8).when(segmentation_type == "LABELMAP", bits.isin(8, 16))
+    return F.when(right.isNull(), "unknown segmentation type").when(~right, "bits don't suit the type").when(samples != 1, "one sample a pixel is needed").when(~photometric.isin("MONOCHROME2", "PALETTE COLOR"), "photometric interpretation").when(lossy_target, "lossy target")

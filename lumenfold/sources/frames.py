@@ -243,9 +243,10 @@ def check_extended(offsets: list[int], lengths: list[int], size: int) -> str | N
     """What is wrong with an extended offset table over `size` bytes of items, or null."""
     if len(offsets) != len(lengths):
         return "as many offsets as lengths are needed"
+    fallen = next((k for k in range(1, len(offsets)) if offsets[k] <= offsets[k - 1]), None)
+    if fallen is not None:
+        return f"offset {fallen} does not rise"
     for k, (o, n) in enumerate(zip(offsets, lengths)):
-        if k and o <= offsets[k - 1]:
-            return f"offset {k} does not rise"
         end = offsets[k + 1] if k + 1 < len(offsets) else size
         if o + 8 + n + n % 2 > end:
             return f"frame {k} goes past {end}"

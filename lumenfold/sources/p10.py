@@ -241,7 +241,7 @@ def write(elements: list[tuple[int, str, object]], syntax: str = EXPLICIT, pream
 def _encode(tag: int, vr: str, value: object, explicit: bool, big: bool) -> bytes:
     order = ">" if big else "<"
     if vr == "SQ":
-        raw = b"".join(struct.pack(order + "HHI", 0xFFFE, 0xE000, len(x)) + x for x in (b"".join(_encode(*e, explicit=explicit, big=big) for e in item) for item in value))
+        raw = b"".join(struct.pack(order + "HHI", 0xFFFE, 0xE000, len(x)) + x for x in (b"".join(_encode(*e, explicit=explicit, big=big) for e in sorted(item, key=lambda e: e[0])) for item in value))
     elif isinstance(value, Fragments):
         padded = [f + b"\0" * (len(f) % 2) for f in value.frames]
         starts = np.cumsum([0, *(8 + len(f) for f in padded)])[:-1].astype("<u4").tobytes()
