@@ -31,6 +31,7 @@ PatientName 00100010 PN
 PatientID 00100020 LO
 PatientBirthDate 00100030 DA
 PatientAge 00101010 AS
+PatientComments 00104000 LT
 SliceThickness 00180050 DS
 SpacingBetweenSlices 00180088 DS
 StudyInstanceUID 0020000D UI

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import coerce, geometry, pixels, tags
-from ..operators import djson, elements, labels, remap, stacks
+from ..operators import djson, elements, labels, overlay, remap, series, stacks, transcode
+from ..sources import frames, jsonmodel, p10, records, sink
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -297,3 +298,152 @@ def q36_planar_layout(spark, d):
     mixed = pixels.interleaved(F.col("embedding"), 2)
     e = table(spark, d, "embeddings").withColumn("m", mixed)
     return e.select("vec_id", F.posexplode(F.arrays_zip(F.col("m").alias("a"), pixels.planar(F.col("m"), 2).alias("b"))).alias("i", "x")).select("vec_id", F.col("i").cast("long").alias("i"), F.col("x.a").alias("interleaved"), F.col("x.b").alias("back"))
+
+
+@query("SELECT doc_id, md5(rtrim(text, ' ')) AS text_md5, lang, n_chars FROM documents WHERE text IS NOT NULL")
+def q37_record_round_trip(spark, d):
+    """Binary records of all documents, written, parsed and pivoted."""
+    made = sink.build(table(spark, d, "documents").filter("text IS NOT NULL"), "doc_id", {"StudyDescription": "lang", "InstanceNumber": "n_chars", "PatientComments": "text"}, p10.DEFLATED)
+    w = elements.wide(records.elements(made), ["StudyDescription", "InstanceNumber", "PatientComments"])
+    return w.select(F.col("instance_id").cast("bigint").alias("doc_id"), F.md5(F.col("PatientComments").cast("binary")).alias("text_md5"), F.col("StudyDescription").alias("lang"), F.col("InstanceNumber").cast("bigint").alias("n_chars"))
+
+
+@query("SELECT vec_id, 8 AS n_rows, 8 AS n_columns, list_sum(list_transform(embedding, lambda x: floor(x * 100) + 100))::BIGINT AS total, (floor(embedding[10] * 100) + 100)::BIGINT AS tenth FROM embeddings")
+def q38_rle_frames(spark, d):
+    """Embeddings as 8 x 8 images of two bytes a sample, written natively, transcoded to RLE, decoded."""
+    value = F.transform("embedding", lambda x: F.floor(x.cast("double") * 100) + 100)
+    raw = F.unhex(F.array_join(F.transform(value, lambda v: F.concat(F.lpad(F.hex(v % 256), 2, "0"), F.lpad(F.hex(F.floor(v / 256)), 2, "0"))), ""))
+    e = table(spark, d, "embeddings").select("vec_id", raw.alias("raw"), F.lit(8).alias("side"), F.lit(16).alias("bits"), F.lit(1).alias("one"))
+    made = sink.build(e, "vec_id", {"Rows": "side", "Columns": "side", "BitsAllocated": "bits", "SamplesPerPixel": "one", "PixelData": "raw"})
+    f = frames.frames(frames.transcoded(made, frames.RLE))
+    sample = lambda i: F.conv(F.hex(F.substring(F.col("samples"), i * 2 + 1, F.lit(1))), 16, 10).cast("bigint") + 256 * F.conv(F.hex(F.substring(F.col("samples"), i * 2 + 2, F.lit(1))), 16, 10).cast("bigint")
+    total = F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(63)), sample), F.lit(0).cast("bigint"), lambda a, v: a + v)
+    return f.select(F.col("instance_id").cast("bigint").alias("vec_id"), "n_rows", "n_columns", total.alias("total"), sample(F.lit(9)).alias("tenth"))
+
+
+@query("SELECT c_custkey, c_name AS patient, c_nationkey AS instance, c_mktsegment AS segment FROM customer")
+def q39_json_records(spark, d):
+    """Records as JSON and back."""
+    made = sink.build(table(spark, d, "customer"), "c_custkey", {"PatientName": "c_name", "InstanceNumber": "c_nationkey", "StudyDescription": "c_mktsegment"})
+    back = jsonmodel.from_json(jsonmodel.to_json(made))
+    w = elements.wide(records.elements(back), ["PatientName", "InstanceNumber", "StudyDescription"])
+    return w.select(F.col("instance_id").cast("bigint").alias("c_custkey"), F.col("PatientName").alias("patient"), F.col("InstanceNumber").cast("int").alias("instance"), F.col("StudyDescription").alias("segment"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 3 > 0 THEN 'out_of_plane' WHEN p_partkey % 2 = 1 THEN 'different_extent' WHEN p_partkey % 5 = 0 THEN 'different_spacing' WHEN p_partkey % 7 = 0 THEN 'different_extent' ELSE 'compatible' END AS plane_status,
+ CASE WHEN p_partkey % 2 = 1 THEN 'different_extent' WHEN p_partkey % 5 = 0 THEN 'different_spacing' WHEN p_partkey % 7 = 0 THEN 'different_extent' WHEN p_size % 3 = 1 THEN 'requires_resampling' ELSE 'compatible' END AS volume_status FROM part""")
+def q40_overlay_grids(spark, d):
+    k, s = F.col("p_partkey"), F.col("p_size")
+    axes = (geometry.vector(1, 0, 0), geometry.vector(0, 1, 0))
+    step, n = F.when(k % 5 == 0, 2.0).otherwise(1.0), F.when(k % 7 == 0, 5).otherwise(4)
+    source = geometry.plane(F.array((k % 2 * 9).cast("double"), F.lit(0.0), (s % 3).cast("double")), axes, (step, step), (n, n))
+    target = geometry.plane(geometry.vector(0, 0, 0), axes, (1.0, 1.0), (4, 4))
+    volume = geometry.volume(geometry.vector(0, 0, 0), (*axes, geometry.vector(0, 0, 1)), (1.0, 1.0, 2.0), (4, 4, 5))
+    rows = table(spark, d, "part").select("p_partkey", source.alias("source"), target.alias("target"), volume.alias("volume"), F.lit("1.2").alias("frame"))
+    flat = overlay.check(rows, "source", "target", "frame", "frame", True, True).withColumn("plane_status", F.col("overlay.status")).drop("overlay")
+    return overlay.check(flat, "source", "volume", "frame", "frame", True, False).select("p_partkey", "plane_status", F.col("overlay.status").alias("volume_status"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, (l_linenumber - 0.5) / 2 AS i, l_quantity AS j, (l_partkey - 3.0) / 4 AS k, (l_linenumber - 0.5) / 2 < 2.5 AND l_quantity < 19.5 AND (l_partkey - 3.0) / 4 >= -0.5 AND (l_partkey - 3.0) / 4 < 99.5 AS inside FROM lineitem")
+def q41_grid_indexes(spark, d):
+    grid = geometry.volume(geometry.vector(0.5, 0, 3), (geometry.vector(1, 0, 0), geometry.vector(0, 1, 0), geometry.vector(0, 0, 1)), (2.0, 1.0, 4.0), (3, 20, 100))
+    world = F.array(F.col("l_linenumber").cast("double"), F.col("l_quantity"), F.col("l_partkey").cast("double"))
+    rows = table(spark, d, "lineitem").withColumn("index", geometry.grid_to_index(grid, world))
+    i = F.col("index")
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", i[0].alias("i"), i[1].alias("j"), i[2].alias("k"), geometry.grid_contains(grid, i).alias("inside"))
+
+
+@query("""WITH t AS (SELECT vec_id, label, list_min(embedding)::DOUBLE AS lo, list_max(embedding)::DOUBLE AS hi, embedding[1]::DOUBLE AS x FROM embeddings),
+s AS (SELECT vec_id, label, CASE WHEN label < 5 THEN CASE WHEN x <= -0.25 THEN 0 WHEN x > 0.25 THEN 255 ELSE trunc((x / 0.5 + 0.5) * 255)::INTEGER END ELSE trunc((x - lo) / (hi - lo) * 255)::INTEGER END AS v FROM t)
+SELECT vec_id, CASE WHEN label % 2 = 1 THEN 255 - v ELSE v END AS shown FROM s""")
+def q42_display(spark, d):
+    e = table(spark, d, "embeddings").withColumn("x", F.transform("embedding", lambda v: v.cast("double")))
+    label = F.col("label")
+    shown = pixels.display(F.col("x"), F.when(label % 2 == 1, "MONOCHROME1").otherwise("MONOCHROME2"), F.when(label < 5, 0.0), F.when(label < 5, 0.5), "linear_exact")
+    return e.select("vec_id", F.get(shown, F.lit(0)).alias("shown"))
+
+
+@query("SELECT n_nationkey AS label, count(c_custkey) AS n_frames, md5(coalesce(string_agg(c_custkey::VARCHAR, ',' ORDER BY c_custkey), '')) AS frames_md5 FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_custkey % 3 = 0 GROUP BY n_nationkey")
+def q43_segment_frames(spark, d):
+    segments = table(spark, d, "nation").select(F.col("n_nationkey").alias("label"))
+    found = table(spark, d, "customer").filter("c_custkey % 3 = 0").select(F.col("c_nationkey").alias("label"), F.col("c_custkey").alias("frame"))
+    return labels.segment_frames(segments, found, "label", "frame").select("label", "n_frames", F.md5(F.array_join(F.transform("frames", lambda f: f.cast("string")), ",").cast("binary")).alias("frames_md5"))
+
+
+@query("""WITH s AS (SELECT l_orderkey, max(l_linestatus) AS last, string_agg(DISTINCT l_linestatus, ',' ORDER BY l_linestatus) AS labels FROM lineitem GROUP BY l_orderkey)
+SELECT l_orderkey, labels, dense_rank() OVER (ORDER BY labels)::INTEGER AS code, last AS painted, false AS over_limit FROM s""")
+def q44_label_volume(spark, d):
+    rows = table(spark, d, "lineitem")
+    every = labels.volume(rows, ["l_orderkey"], "l_linestatus")
+    top = labels.volume(rows, ["l_orderkey"], "l_linestatus", "no").select("l_orderkey", F.get("labels", F.lit(0)).alias("painted"))
+    return every.join(top, "l_orderkey").select("l_orderkey", F.array_join("labels", ",").alias("labels"), "code", "painted", "over_limit")
+
+
+@query("SELECT c_custkey AS instance_id, c_name AS text FROM customer WHERE c_custkey % 2 = 0")
+def q45_private_elements(spark, d):
+    """Each customer reserves block 0x10 or 0x11 for a maker; the element of the maker MAKER is looked up."""
+    c = table(spark, d, "customer")
+    block = F.when(F.col("c_custkey") % 4 == 0, 0x10).otherwise(0x11)
+    maker = F.when(F.col("c_custkey") % 2 == 0, "MAKER ").otherwise("OTHER")
+    base = 0x00290000
+    two = F.array(F.struct((block + base).alias("tag"), maker.alias("text")), F.struct((block * 256 + 1 + base).alias("tag"), F.col("c_name").alias("text")))
+    rows = c.select(F.col("c_custkey").alias("instance_id"), F.lit("").alias("parent_path"), F.explode(two).alias("e")).select("instance_id", "parent_path", F.col("e.tag").cast("bigint").alias("tag"), "e.text")
+    return elements.private(rows, 0x0029, 0x01, "MAKER").select("instance_id", "text")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'B' WHEN o_orderkey % 2 = 0 THEN 'A' END AS charset FROM orders")
+def q46_inherited_charset(spark, d):
+    """A text two levels down inherits the set of the item around it, else of the root."""
+    k = F.col("o_orderkey")
+    rows = F.array(
+        F.when(k % 2 == 0, F.struct(F.lit("").alias("parent_path"), F.lit("00080005").alias("tag_hex"), F.lit("A").alias("text"))),
+        F.when(k % 3 == 0, F.struct(F.lit("00620002.1").alias("parent_path"), F.lit("00080005").alias("tag_hex"), F.lit("B").alias("text"))),
+        F.struct(F.lit("00620002.1.00620003.0").alias("parent_path"), F.lit("00100010").alias("tag_hex"), F.col("o_orderstatus").alias("text")),
+    )
+    e = table(spark, d, "orders").select(k.alias("instance_id"), F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("e")).select("instance_id", "e.*")
+    return elements.nearest_charset(e).filter("tag_hex = '00100010'").select(F.col("instance_id").alias("o_orderkey"), "charset")
+
+
+@query("""SELECT l_orderkey, count(DISTINCT l_linenumber) AS n_pairs, true AS integers, CASE WHEN min(l_suppkey) - max(l_linenumber) >= 0 THEN CASE WHEN max(l_suppkey) - min(l_linenumber) < 256 THEN 'uint8' WHEN max(l_suppkey) - min(l_linenumber) < 65536 THEN 'uint16' ELSE 'uint32' END
+ WHEN min(l_suppkey) - max(l_linenumber) >= -128 AND max(l_suppkey) - min(l_linenumber) < 128 THEN 'int8' WHEN max(l_suppkey) - min(l_linenumber) < 32768 THEN 'int16' ELSE 'int32' END AS kind FROM lineitem GROUP BY l_orderkey""")
+def q47_rescale_plan(spark, d):
+    rows = table(spark, d, "lineitem").select("l_orderkey", F.lit(1.0).alias("slope"), (-F.col("l_linenumber")).cast("double").alias("intercept"), "l_suppkey")
+    return series.rescale_plan(rows, ["l_orderkey"], "l_suppkey", "l_suppkey")
+
+
+@query("SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, (l_quantity - first(l_quantity) OVER w) AS position_along, abs(l_tax - first(l_tax) OVER w) AS residual FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber::BIGINT * 1000000000 + l_partkey * 10000 + l_suppkey, l_quantity, l_tax)")
+def q48_positions_along(spark, d):
+    rows = table(spark, d, "lineitem").withColumn("ord", F.struct(F.expr("l_linenumber * 1000000000L + l_partkey * 10000 + l_suppkey"), "l_quantity", "l_tax"))
+    rows = rows.withColumns({"o": F.array("l_tax", F.lit(0.0), "l_quantity"), "n": geometry.vector(0, 0, 1)})
+    return series.along_normal(rows, ["l_orderkey"], "o", "n", "ord").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "position_along", "residual")
+
+
+@query("SELECT c_custkey, '1.2.' || c_nationkey || '.' || c_custkey AS uid, c_custkey % 2 = 0 AS is_long FROM customer")
+def q49_uid_append(spark, d):
+    short = F.concat(F.lit("1.2."), F.col("c_nationkey").cast("string"))
+    long = F.concat(F.lit("1.2."), F.repeat(F.lit("3"), 58))
+    fallback = remap.append(long, F.col("c_custkey") + 1_000_000)
+    fits = coerce.uid_strict(fallback) & F.startswith(fallback, F.lit("1.2." + "3" * 26 + "."))
+    return table(spark, d, "customer").select("c_custkey", remap.append(short, F.col("c_custkey")).alias("uid"), (fits & (F.col("c_custkey") % 2 == 0)).alias("is_long"))
+
+
+@query("""SELECT event_id, CASE event_type WHEN (SELECT min(event_type) FROM events) THEN CASE WHEN user_id % 2 = 0 THEN NULL ELSE 'lossy target' END ELSE 'bits don''t suit the type' END AS problem, CASE WHEN user_id % 2 = 1 OR event_id % 5 = 0 THEN '01' ELSE '00' END AS lossy FROM events""")
+def q50_segmentation_writes(spark, d):
+    e = table(spark, d, "events")
+    least = F.broadcast(e.agg(F.min("event_type").alias("least")))  # one row
+    bits = F.when(F.col("event_type") == F.col("least"), 1).otherwise(8)
+    problem = labels.write_errors(F.lit("BINARY"), bits, F.lit("MONOCHROME2"), F.lit(1), F.col("user_id") % 2 == 1)
+    state = transcode.lossy_state(F.when(F.col("event_id") % 5 == 0, "01").otherwise("00"), F.col("user_id") % 2 == 1)
+    return e.crossJoin(least).select("event_id", problem.alias("problem"), state.alias("lossy"))
+
+
+@query("SELECT source, lang, last_id, last_chars FROM (SELECT source, lang, doc_id AS last_id, n_chars AS last_chars, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id DESC) AS r FROM documents) WHERE r = 1")
+def q51_last_of_equal_keys(spark, d):
+    rows = table(spark, d, "documents").withColumnsRenamed({"n_chars": "last_chars"}).withColumn("last_id", F.col("doc_id"))
+    return elements.duplicates_last(rows, ["source", "lang"], "doc_id", ["last_id", "last_chars"])
+
+
+@query("SELECT p_partkey, least(greatest(y + 1.402 * r, 0), 255)::DOUBLE AS red, least(greatest(y - 0.344136 * b - 0.714136 * r, 0), 255)::DOUBLE AS green, least(greatest(y + 1.772 * b, 0), 255)::DOUBLE AS blue FROM (SELECT p_partkey, trunc(1.0 * (p_partkey % 256)) AS y, p_size * 5 - 128.0 AS b, p_partkey % 200 - 128.0 AS r FROM part)".replace("least(greatest(", "trunc(least(greatest(").replace(", 255)::DOUBLE", ", 255))::DOUBLE"))
+def q52_ybr(spark, d):
+    rgb = pixels.ybr_to_rgb(F.col("p_partkey") % 256, F.col("p_size") * 5, F.col("p_partkey") % 200)
+    return table(spark, d, "part").select("p_partkey", *(rgb[c].cast("double").alias(n) for c, n in (("r", "red"), ("g", "green"), ("b", "blue"))))

@@ -52,7 +52,7 @@ def test_groups(found):
     assert [r.status for r in rows] == ["ok", "ok"] and [r.plane.origin[2] for r in rows] == [0.0, 5.0] and rows[0].plane.spacing[:2] == [0.25, 0.5] and rows[0].plane.size[:2] == [4.0, 3.0]
     t = multiframe.transforms(found).first()
     assert (t.slope, t.intercept, t.center, t.status) == (2.0, -1.0, None, "ok")
-    assert [tuple(r)[1:] for r in multiframe.stack_keys(found).select("instance_id", "frame", "stack_id", "in_stack_position").orderBy("frame").collect()] == [(0, "s", 1), (1, "s", 2)]
+    assert [tuple(r)[1:] for r in multiframe.stack_keys(found).select("instance_id", "frame", "stack_id", "in_stack_position").orderBy("frame").collect()] == [(0, "s", 1), (1, "s", 6)]
     assert multiframe.references(found).count() == 0 and multiframe.tiled(found).count() == 0
     assert multiframe.planes(found.filter("path NOT LIKE '5200%'")).first().status == "missing_position"
 
