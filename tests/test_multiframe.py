@@ -165,3 +165,13 @@ def test_label_volume(spark):
     assert {r.label: (r.n_frames, r.frames) for r in labels.segment_frames(segments, masks, "label", "z").collect()} == {1: (1, [0]), 2: (1, [0]), 4: (0, [])}
     table = spark.createDataFrame([(1, 10, 0, 0, 255), (2, 30, 0, 0, 255)], "label int, r int, g int, b int, a int")
     assert {r.code: r.r for r in labels.colours(labels.set_codes(painted), table, "label").collect()} == {1: 10, 2: 20, 3: 30}
+
+
+def test_syntaxes(spark, found):
+    from lumenfold.operators import transcode
+
+    r = transcode.classified(records.instances(found)).first()
+    assert (r.name, r.family, r.can_encode, r.lossy) == ("ExplicitVRLittleEndian", "native", True, False)
+    assert transcode.resolve("rle lossless") == frames.RLE and transcode.resolve("x") is None
+    x = spark.range(1).select(transcode.lossy_history(F.array(F.lit("a"), F.lit("b")), F.array(F.lit(2.0)), F.lit("c"), F.lit(3.0)).alias("h"), transcode.colour_planes(F.lit(3), F.lit("rle"), F.lit(0)).alias("p")).first()
+    assert x.h.methods == ["a", "c"] and x.h.ratios == [2.0, 3.0] and x.p == 1
