@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..functions.tags import STRING_VRS, lookup
+from ..functions.tags import CHARSET_VRS, STRING_VRS, lookup
 from ..operators.elements import selection
-from . import p10
+from . import charset, p10
 
 ELEMENTS = "instance_id string, path string, depth int, parent_path string, item_index int, ordinal int, tag bigint, tag_hex string, keyword string, vr string, vm int, length bigint, present boolean, raw binary, text string, strings array<string>, longs array<bigint>, doubles array<double>, error string"
 
@@ -26,7 +26,7 @@ def _row(e: p10.Element, instance: str, ordinal: int) -> tuple:
     text = strings = longs = doubles = None
     vm = 0
     if e.raw is not None and e.vr in STRING_VRS:
-        text = p10.decode_text(e.raw, e.charset if e.vr in ("LO", "LT", "PN", "SH", "ST", "UC", "UT") else "ISO_IR 100")
+        text = charset.decode(e.raw, e.charset, delimiters=b"\\^=" if e.vr == "PN" else b"\\") if e.vr in CHARSET_VRS else p10.decode_text(e.raw, "ISO_IR 100")
         if text is not None:
             text = text.strip("\0 ") if e.vr not in ("LT", "ST", "UT", "UC") else text.rstrip("\0 ")
             strings = [s.strip("\0 ") for s in text.split("\\")] if e.raw and e.vr not in ("LT", "ST", "UT", "UR") else None

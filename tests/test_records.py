@@ -57,3 +57,9 @@ def test_text_policies():
     assert p10.decode_text(b"a\xffb", "ISO_IR 192", "replace_hex_escape") == "a(0xFF)b"
     assert p10.decode_text(b"a\xff", "ISO_IR 192", "replace_fffd") == "a�"
     assert p10.numbers(b"\1", "US") is None and len(p10.numbers(b"", "US")) == 0
+
+
+def test_two_sets(spark):
+    data = p10.write([(0x00080005, "CS", "\\ISO 2022 IR 87"), (0x00100010, "PN", b"Yamada=\x1b$B;3ED\x1b(B"), (0x00081030, "LO", b"a\\b")])
+    w = wide(records.elements(spark.createDataFrame([("a", data)], "instance_id string, content binary")), ["PatientName", "StudyDescription"]).first()
+    assert (w.PatientName, w.StudyDescription) == ("Yamada=山田", "a\\b")
