@@ -225,6 +225,48 @@ def test_repeated_passages(spark, odd, empty):
     assert passages.repeated_passages(empty).count() == 0 and passages.repeated_passages(odd).count() == 0
 
 
+def jaccard(x, y):
+    x, y = set(x.tolist()), set(y.tolist())
+    return len(x & y) / len(x | y)
+
+
+def test_matched_single_edits():
+    """A replaced, added or missing word at every place of passages of 50 to 95 words in other text."""
+    width = passages.PASSAGE - passages.SHINGLE + 1
+    shingled = lambda words: np.array([hash(tuple(words[i : i + 5])) for i in range(len(words) - 4)], np.int64).view(np.uint64)
+    checked = 0
+    for n in range(50, 96):
+        shared = list(range(n))
+        for at in range(n):
+            for edited in ([*shared[:at], -1, *shared[at + 1 :]], [*shared[:at], -1, *shared[at:]], shared[:at] + shared[at + 1 :]):
+                if len(edited) < passages.PASSAGE or jaccard(shingled(shared), shingled(edited)) < 0.8:
+                    continue
+                x, y = shingled([*range(1000, 1030), *shared, *range(2000, 2030)]), shingled([*range(3000, 3020), *edited, *range(4000, 4040)])
+                found = passages.matched(x, y, width, 0.8)
+                assert found and all(e - s >= width and q - p >= width for s, e, p, q in found), (n, at, len(edited))
+                checked += 1
+    assert checked > 9000
+
+
+def test_matched_against_all_runs():
+    rng, n, width, some = random.Random(9), 18, 7, 0
+    for trial in range(300):
+        x = list(range(n)) if trial % 2 else [rng.randrange(12) for _ in range(n)]
+        y = list(x)
+        for _ in range(rng.randint(1, 6)):
+            k = rng.randrange(len(y))
+            y[k : k + rng.randint(0, 2)] = [100 + rng.randrange(50) for _ in range(rng.randint(0, 2))]
+        y = y[:k] + y[k:][:n]
+        x, y = np.array(x, np.uint64), np.array(y, np.uint64)
+        want = any(jaccard(x[s:e], y[p:q]) >= 0.8 for s in range(n) for e in range(s + width, n + 1) for p in range(len(y)) for q in range(p + width, len(y) + 1))
+        found = passages.matched(x, y, width, 0.8)
+        if trial % 2 and len(set(y.tolist())) == len(y):
+            assert bool(found) == want
+            some += want
+        assert want or not found
+    assert some > 20
+
+
 def test_audio(odd, empty):
     for n in (1, 64, 65):
         assert audio.decode_wav(audio.encode_wav(bytes(range(n)))) == (bytes(range(n)), 8000)
