@@ -25,12 +25,31 @@ def to_doubles(text: Column) -> Column:
     return _numbers(text, "double")
 
 
+#: How far a decimal may be from the integer that it is taken for.
+WHOLE = 1e-9
+
+
+def _whole(text: Column, low: int, high: int, kind: str) -> Column:
+    tokens = F.filter(F.transform(F.split(text, r"[\\/]"), lambda t: padded_trim(t)), lambda t: t != "")
+
+    def one(t: Column) -> Column:
+        decimal = t.try_cast("double")
+        near = F.when((F.abs(decimal - F.rint(decimal)) <= WHOLE) & (F.abs(decimal) < 2.0**63), F.rint(decimal).try_cast("bigint"))
+        value = F.coalesce(t.try_cast("bigint"), near)
+        return F.when(value.between(low, high), value).cast(kind)
+
+    values = F.transform(tokens, one)
+    return F.when((F.size(tokens) > 0) & ~F.exists(values, lambda v: v.isNull()), values)
+
+
 def to_longs(text: Column) -> Column:
-    return _numbers(text, "bigint")
+    """Integers and decimals within 1e-9 of one; any other value makes the whole null."""
+    return _whole(text, -(2**63), 2**63 - 1, "bigint")
 
 
 def to_ints(text: Column) -> Column:
-    return _numbers(text, "int")
+    """As `to_longs`; a value beyond 32 bits makes the whole null."""
+    return _whole(text, -(2**31), 2**31 - 1, "int")
 
 
 def to_double(text: Column) -> Column:
@@ -85,11 +104,16 @@ def person_name(text: Column) -> Column:
 
 
 def person_name_text(name: Column) -> Column:
-    """Groups joined again, without empty groups at the end."""
+    """Groups joined again, without empty groups at the end. Components that were written stay, empty ones at the end too."""
     joined = F.concat_ws("=", *(F.coalesce(F.array_join(name[n], "^"), F.lit("")) for n in ("alphabetic", "ideographic", "phonetic")))
     return F.when(name.isNotNull(), F.regexp_replace(joined, "=+$", ""))
 
 
+def person_name_empty(name: Column) -> Column:
+    """No component of any group has text."""
+    return ~F.greatest(*(F.coalesce(F.exists(name[n], lambda c: c != ""), F.lit(False)) for n in ("alphabetic", "ideographic", "phonetic")))
+
+
 def shown_date(text: Column) -> Column:
     return F.when(text.rlike("^[0-9]{8}$"), F.concat_ws("-", F.substring(text, 1, 4), F.substring(text, 5, 2), F.substring(text, 7, 2))).otherwise(text)
 
@@ -100,5 +124,19 @@ def shown_text(text: Column, limit: int) -> Column:
     return F.when(F.length(clean) > limit, F.concat(F.substring(clean, 1, limit - 3), F.lit("..."))).otherwise(clean)
 
 
+def dump_escaped(text: Column) -> Column:
+    """Backslashes and quotes with a backslash before them, control characters as \\xHH, in quotes."""
+    marked = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'"))
+    for code in (*range(32), 127):
+        marked = F.replace(marked, F.lit(chr(code)), F.lit(f"\\x{code:02x}"))
+    return F.concat(F.lit("'"), marked, F.lit("'"))
+
+
+def dump_value(text: Column, limit: int) -> Column:
+    """Quoted and escaped; over `limit` characters cut before the closing quote, with three dots."""
+    shown = dump_escaped(text)
+    return F.when(F.length(shown) > limit, F.concat(F.substring(shown, 1, limit - 4), F.lit("...'"))).otherwise(shown)
+
+
 def dump_line(tag_hex: Column, vr: Column, length: Column, vm: Column, value: Column, keyword: Column, limit: int = 40) -> Column:
     return F.concat_ws("\t", tag_hex, vr, length.cast("string"), vm.cast("string"), shown_text(value, limit), keyword)

@@ -32,6 +32,7 @@ PatientID 00100020 LO
 PatientBirthDate 00100030 DA
 PatientAge 00101010 AS
 PatientComments 00104000 LT
+TextValue 0040A160 UT
 SliceThickness 00180050 DS
 SpacingBetweenSlices 00180088 DS
 StudyInstanceUID 0020000D UI
@@ -143,6 +144,22 @@ def tag_of(text: str) -> str | None:
     return (m[1] + m[2]).upper() if m else next((t for k, t, _ in ENTRIES if k == text), None)
 
 
+def load(path: str) -> int:
+    """Adds the entries of a text file (keyword, tag and VR a line, in the format above; x stands for any digit) and gives their number. Workers that parse need it, too."""
+    with open(path, encoding="utf-8") as f:
+        new = [tuple(line.split()[:3]) for line in f if line.strip() and not line.startswith("#")]
+    for entry in new:
+        if len(entry) != 3 or not re.fullmatch("[0-9A-Fa-fx]{8}", entry[1]):
+            raise ValueError(f"bad entry {entry}")
+    for keyword, tag, vr in new:
+        ENTRIES.append((keyword, tag := tag.upper().replace("X", "x"), vr))
+        if "x" in tag:
+            WILD.append((re.compile(tag.replace("x", "[0-9A-F]")), keyword, vr))
+        else:
+            EXACT[tag] = keyword, vr
+    return len(new)
+
+
 def dictionary(spark: SparkSession) -> DataFrame:
     """(keyword, tag_hex, vr): a fixed small table, safe to broadcast."""
     return spark.createDataFrame(ENTRIES, "keyword string, tag_hex string, vr string")

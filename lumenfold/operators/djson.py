@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.coerce import uid_strict
+
 THRESHOLD = 1024
 
 
@@ -28,9 +30,18 @@ def vr_of(text: Column, tag_hex: str) -> Column:
 
 
 def inferred_vr(kind: Column, text: Column, private: Column) -> Column:
-    """A value's representation from its JSON kind (`object`, `string`, `double`, `int`, ..): UID-like strings are UI, other strings LO."""
+    """A value's representation from its JSON kind (`object`, `string`, `double`, `int`, ..): valid UIDs are UI, other strings LO."""
+    return _inferred(kind, uid_strict(text), private)
+
+
+def inferred_vr_of_all(kind: Column, texts: Column, private: Column) -> Column:
+    """As `inferred_vr`, of an array of values: UI only if there are some and all are valid UIDs."""
+    return _inferred(kind, (F.size(texts) > 0) & F.forall(texts, lambda t: F.coalesce(uid_strict(t), F.lit(False))), private)
+
+
+def _inferred(kind: Column, uid: Column, private: Column) -> Column:
     return (
-        F.when((kind == "string") & text.rlike(r"^[0-9]+(\.[0-9]+)+$"), "UI").when(kind == "object", "SQ").when(private, "UN").when(kind == "string", "LO").when(kind == "double", "FD").when(kind == "int", "SL").otherwise("UN")
+        F.when((kind == "string") & uid, "UI").when(kind == "object", "SQ").when(private, "UN").when(kind == "string", "LO").when(kind == "double", "FD").when(kind == "int", "SL").otherwise("UN")
     )
 
 

@@ -49,6 +49,15 @@ def selection(tree: dict) -> dict:
     return canonical({"SpecificCharacterSet": {}, "SOPClassUID": {}} | tree)
 
 
+def wanted_tree(tree: dict) -> dict:
+    """A canonical tree with numbers for tags, as the parser takes it."""
+
+    def numbers(node: dict) -> dict:
+        return {int(tag, 16): numbers(below) for tag, below in node.items()}
+
+    return numbers(selection(tree))
+
+
 def until(elements: DataFrame, tag: int) -> DataFrame:
     return elements.filter((F.col("tag") <= tag) | (F.col("depth") > 0))
 
@@ -80,7 +89,8 @@ def layered(frames: DataFrame, shared: DataFrame, root: DataFrame, frame_key: li
     """Per-frame value, else the shared one, else the root's."""
     s = shared.select(*shared_key, F.col(value).alias("_s"))
     r = root.select(F.col(value).alias("_r"))
-    return frames.join(s, shared_key, "left").crossJoin(F.broadcast(r.limit(1))).withColumn(value, F.coalesce(value, "_s", "_r")).drop("_s", "_r")
+    joined = frames.join(s, shared_key, "left").join(F.broadcast(r.limit(1)), F.lit(True), "left")  # one row at most
+    return joined.withColumn(value, F.coalesce(value, "_s", "_r")).drop("_s", "_r")
 
 
 def split_payload(rows: DataFrame, key: str, payload: str) -> tuple[DataFrame, DataFrame]:

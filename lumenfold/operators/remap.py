@@ -6,10 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.coerce import uid_strict
+from ..functions.tags import tag_of
 
 #: Tags that each option rewrites (fixed values of the public standard).
 INSTANCE_TAGS = ["00020003", "00020033", "00041511", "00080018", "00081155", "00081167", "00200242"]
-STUDY_TAGS, SERIES_TAGS, FRAME_OF_REFERENCE_TAGS = ["0020000D"], ["0020000E"], ["00200052", "00200200", "00209312", "00209313", "00640003", "30060024", "300600C2", "300A0675"]
+STUDY_TAGS, SERIES_TAGS = ["0020000D"], ["0020000E"]
+#: By keyword where the dictionary must be extended first (`tags.load`).
+FRAME_OF_REFERENCE_KEYWORDS = ["TargetFrameOfReferenceUID"]
+FRAME_OF_REFERENCE_TAGS = ["00200052", "00200200", "00209312", "00209313", "00640003", "30060024", "300600C2", "300A0675"]
 
 
 def with_suffix(root: Column, number: Column) -> Column:
@@ -59,9 +63,10 @@ def _decimal(digest: Column) -> Column:
     return (high * F.lit(2**48).cast("decimal(16,0)") + low).cast("decimal(38,0)").cast("string")
 
 
-def rewrite_elements(elements: DataFrame, root: str, known: DataFrame | None = None, study: bool = True, series: bool = True, instances: bool = True, frames_of_reference: bool = False) -> tuple[DataFrame, DataFrame]:
+def rewrite_elements(elements: DataFrame, root: str, known: DataFrame | None = None, study: bool = True, series: bool = True, instances: bool = True, frames_of_reference: bool = False, more_tags: list[str] = ()) -> tuple[DataFrame, DataFrame]:
     """(elements with mapped UIDs and `rewritten`, all pairs). Only single, non-empty UI values of the chosen tags change; the mapping joins by UID, once."""
-    chosen = STUDY_TAGS * study + SERIES_TAGS * series + INSTANCE_TAGS * instances + FRAME_OF_REFERENCE_TAGS * frames_of_reference
+    by_keyword = [t for t in map(tag_of, FRAME_OF_REFERENCE_KEYWORDS) if t]
+    chosen = STUDY_TAGS * study + SERIES_TAGS * series + INSTANCE_TAGS * instances + (FRAME_OF_REFERENCE_TAGS + by_keyword) * frames_of_reference + [tag_of(t) or t for t in more_tags]
     wanted = F.col("tag_hex").isin(chosen) & (F.col("vr") == "UI") & (F.col("vm") == 1)
     keyed = elements.withColumn("_uid", F.when(wanted, F.rtrim(F.col("text"), F.lit(" \0"))))
     pairs = mapping(keyed.filter("_uid IS NOT NULL"), "_uid", root, known)

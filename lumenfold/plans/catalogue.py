@@ -300,12 +300,12 @@ def q36_planar_layout(spark, d):
     return e.select("vec_id", F.posexplode(F.arrays_zip(F.col("m").alias("a"), pixels.planar(F.col("m"), 2).alias("b"))).alias("i", "x")).select("vec_id", F.col("i").cast("long").alias("i"), F.col("x.a").alias("interleaved"), F.col("x.b").alias("back"))
 
 
-@query("SELECT doc_id, md5(rtrim(text, ' ')) AS text_md5, lang, n_chars FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, md5(rtrim(text, ' ')) AS text_md5, lang, n_chars FROM documents")
 def q37_record_round_trip(spark, d):
     """Binary records of all documents, written, parsed and pivoted."""
-    made = sink.build(table(spark, d, "documents").filter("text IS NOT NULL"), "doc_id", {"StudyDescription": "lang", "InstanceNumber": "n_chars", "PatientComments": "text"}, p10.DEFLATED)
-    w = elements.wide(records.elements(made), ["StudyDescription", "InstanceNumber", "PatientComments"])
-    return w.select(F.col("instance_id").cast("bigint").alias("doc_id"), F.md5(F.col("PatientComments").cast("binary")).alias("text_md5"), F.col("StudyDescription").alias("lang"), F.col("InstanceNumber").cast("bigint").alias("n_chars"))
+    made = sink.build(table(spark, d, "documents"), "doc_id", {"StudyDescription": "lang", "InstanceNumber": "n_chars", "TextValue": "text"}, p10.DEFLATED)
+    w = elements.wide(records.elements(made), ["StudyDescription", "InstanceNumber", "TextValue"])
+    return w.select(F.col("instance_id").cast("bigint").alias("doc_id"), F.md5(F.col("TextValue").cast("binary")).alias("text_md5"), F.col("StudyDescription").alias("lang"), F.col("InstanceNumber").cast("bigint").alias("n_chars"))
 
 
 @query("SELECT vec_id, 8 AS n_rows, 8 AS n_columns, list_sum(list_transform(embedding, lambda x: floor(x * 100) + 100))::BIGINT AS total, (floor(embedding[10] * 100) + 100)::BIGINT AS tenth FROM embeddings")

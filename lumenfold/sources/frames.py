@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import p10
+from .batches import batched
 
 RLE = "1.2.840.10008.1.2.5"
 NATIVE = (p10.IMPLICIT, p10.EXPLICIT, p10.DEFLATED, p10.BIG_ENDIAN)
@@ -156,7 +157,7 @@ def frames_of(content: bytes, decoders: dict | None = None) -> Iterator[tuple[in
 def frames(records: DataFrame) -> DataFrame:
     """A row per frame of (instance_id, content), with interleaved little-endian samples. A record that can't be decoded gives one row with its error.
 
-    One frame at a time leaves the worker, so memory holds one record and one frame.
+    Frames leave the worker in batches of a few MB, so memory holds one record and these.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -164,14 +165,14 @@ def frames(records: DataFrame) -> DataFrame:
     schema, decoders = to_arrow_schema(StructType.fromDDL(FRAMES)), dict(DECODERS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batch_of = lambda row: pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema)], schema=schema)
-        for batch in batches:
-            for instance, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                try:
-                    for k, at, samples in frames_of(content.as_py() or b"", decoders):
-                        yield batch_of((instance, k, at.frames, at.rows, at.columns, at.samples, at.photometric, at.kind, samples, None))
-                except (p10.Broken, ValueError, struct.error, KeyError) as e:
-                    yield batch_of((instance, None, None, None, None, None, None, None, None, str(e)))
+        yield from batched(schema, (row for batch in batches for instance, content in zip(batch.column(0).to_pylist(), batch.column(1)) for row in rows(instance, content)))
+
+    def rows(instance: str, content: pa.Scalar) -> Iterator[tuple]:
+        try:
+            for k, at, samples in frames_of(content.as_py() or b"", decoders):
+                yield instance, k, at.frames, at.rows, at.columns, at.samples, at.photometric, at.kind, samples, None
+        except (p10.Broken, ValueError, struct.error, KeyError, IndexError) as e:
+            yield instance, *[None] * 8, str(e)
 
     return records.select("instance_id", "content").mapInArrow(run, FRAMES)
 
@@ -214,13 +215,13 @@ def transcoded(records: DataFrame, syntax: str) -> DataFrame:
     schema = pa.schema([("instance_id", pa.string()), ("content", pa.binary()), ("error", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for instance, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                try:
-                    row = (instance, transcode(content.as_py() or b"", syntax), None)
-                except (p10.Broken, ValueError, struct.error, KeyError) as e:
-                    row = (instance, None, str(e))
-                yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema)], schema=schema)
+        yield from batched(schema, (made(instance, content) for batch in batches for instance, content in zip(batch.column(0).to_pylist(), batch.column(1))))
+
+    def made(instance: str, content: pa.Scalar) -> tuple:
+        try:
+            return instance, transcode(content.as_py() or b"", syntax), None
+        except (p10.Broken, ValueError, struct.error, KeyError, IndexError) as e:
+            return instance, None, str(e)
 
     return records.select("instance_id", "content").mapInArrow(run, "instance_id string, content binary, error string")
 

@@ -13,9 +13,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.coerce import UID_PATTERN
 from ..functions.tags import CHARSET_VRS, STRING_VRS, lookup
 from . import charset as text
 from . import p10
+from .batches import batched
 
 BULK_VRS = frozenset("OB OD OF OL OV OW UN".split())
 GROUPS = ("Alphabetic", "Ideographic", "Phonetic")
@@ -124,10 +126,11 @@ def inferred(tag_hex: str, node: dict) -> str:
         return node["vr"]
     if known := lookup(tag_hex):
         return known[1]
-    first = next((v for v in node.get("Value") or [] if v is not None), None)
+    some = [v for v in node.get("Value") or [] if v is not None]
+    first = some[0] if some else None
     if "InlineBinary" in node or "BulkDataURI" in node:
         return "UN"
-    if isinstance(first, str) and re.fullmatch(r"[0-9]+(\.[0-9]+)+", first):
+    if some and all(isinstance(v, str) and len(v) <= 64 and re.fullmatch(UID_PATTERN, v) for v in some):
         return "UI"
     if isinstance(first, dict):
         return "PN" if set(first) <= set(GROUPS) and first else "SQ"
@@ -222,14 +225,13 @@ def _worker(kind: str, make):
     schema = to_arrow_schema(StructType.fromDDL(kind))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for instance, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                try:
-                    rows = [(instance, *r, None) for r in make(content.as_py() or b"")]
-                except (p10.Broken, ValueError, KeyError, TypeError, AttributeError) as e:
-                    rows = [(instance, *[None] * (len(schema) - 2), str(e))]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+        yield from batched(schema, (row for batch in batches for instance, content in zip(batch.column(0).to_pylist(), batch.column(1)) for row in rows(instance, content)))
+
+    def rows(instance: str, content: pa.Scalar) -> list[tuple]:
+        try:
+            return [(instance, *r, None) for r in make(content.as_py() or b"")]
+        except (p10.Broken, ValueError, KeyError, TypeError, AttributeError) as e:
+            return [(instance, *[None] * (len(schema) - 2), str(e))]
 
     return run
 

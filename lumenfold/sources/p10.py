@@ -114,8 +114,9 @@ def numbers(raw: bytes, vr: str) -> np.ndarray | None:
 class Parser:
     """Elements of one record in preorder, by recursive descent over the bytes."""
 
-    def __init__(self, data: bytes, load_until: int | None = None):
-        self.data, self.load_until, self.syntax, self.error = data, load_until, IMPLICIT, None
+    def __init__(self, data: bytes, load_until: int | None = None, wanted: dict | None = None):
+        """wanted: a tree of tags; other elements are skipped over, not decoded, at every depth."""
+        self.data, self.load_until, self.wanted, self.syntax, self.error = data, load_until, wanted, IMPLICIT, None
 
     def elements(self) -> Iterator[Element]:
         try:
@@ -126,14 +127,14 @@ class Parser:
                 meta += e
                 if e[0].tag == 0x00020010:
                     self.syntax = e[0].raw.rstrip(b"\0 ").decode("ascii", "replace")
-            yield from meta
+            yield from meta if self.wanted is None else (e for e in meta if e.tag in self.wanted)
             body = self.data[at:]
             if not meta:
                 self.syntax = EXPLICIT if body[4:6].decode("latin-1") in KNOWN_VRS else IMPLICIT
             if self.syntax == DEFLATED:
                 body = zlib.decompress(body, -15)
             self.data, self.big = body, self.syntax == BIG_ENDIAN
-            yield from self._dataset(0, len(body), self.syntax != IMPLICIT, "", 0, None, "")
+            yield from self._dataset(0, len(body), self.syntax != IMPLICIT, "", 0, None, "", self.wanted)
         except (Broken, zlib.error, struct.error, UnicodeDecodeError) as e:
             self.error = str(e)
 
@@ -147,7 +148,7 @@ class Parser:
     def _tag(self, at: int) -> int:
         return self._u(at, 2) << 16 | self._u(at + 2, 2)
 
-    def _dataset(self, at: int, end: int, explicit: bool, parent: str, depth: int, item: int | None, charset: str) -> Iterator[Element]:
+    def _dataset(self, at: int, end: int, explicit: bool, parent: str, depth: int, item: int | None, charset: str, wanted: dict | None = None) -> Iterator[Element]:
         last = -1
         self.at = at
         while self.at + 8 <= end:
@@ -158,13 +159,29 @@ class Parser:
                 return
             if self.load_until is not None and not depth and tag > self.load_until:
                 return
-            found, self.at = self._element(self.at, end, explicit, parent, f"{parent}{tag:08X}", depth, item, charset)
+            known = wanted is None or tag in wanted
+            if not known and tag != 0x00080005 and (beyond := self._beyond(self.at, end, explicit)) is not None:
+                self.at, last = beyond, tag
+                continue
+            found, self.at = self._element(self.at, end, explicit, parent, f"{parent}{tag:08X}", depth, item, charset, None if wanted is None else wanted.get(tag, {}))
             last = tag
             if tag == 0x00080005:
                 charset = found[0].raw.decode("latin-1").strip("\0 ")
-            yield from found
+            if known:
+                yield from found
+
+    def _beyond(self, at: int, end: int, explicit: bool) -> int | None:
+        """Where the next element begins, from this one's head alone; null if its length is not defined."""
+        vr = self.data[at + 4 : at + 6].decode("latin-1") if explicit else ""
+        wide = explicit and (vr in LONG_VRS or vr not in KNOWN_VRS)
+        length, head = (self._u(at + 8, 4), 12) if wide else (self._u(at + 6, 2), 8) if explicit else (self._u(at + 4, 4), 8)
+        if length == UNDEFINED:
+            return None
+        if at + head + length > end:
+            raise Broken(f"{self._tag(at):08X} has {length} bytes, {end - at - head} are left")
+        return at + head + length
 
-    def _element(self, at: int, end: int, explicit: bool, parent: str, path: str, depth: int, item: int | None, charset: str) -> tuple[list[Element], int]:
+    def _element(self, at: int, end: int, explicit: bool, parent: str, path: str, depth: int, item: int | None, charset: str, wanted: dict | None = None) -> tuple[list[Element], int]:
         tag = self._tag(at)
         vr, head = "UN", 8
         if explicit:
@@ -191,7 +208,7 @@ class Parser:
             while at + 8 <= stop and (t := self._tag(at)) == ITEM:
                 n = self._u(at + 4, 4)
                 inner = stop if n == UNDEFINED else min(stop, at + 8 + n)
-                out += self._dataset(at + 8, inner, explicit and vr != "UN", f"{own.path}.{k}.", depth + 1, k, charset)
+                out += self._dataset(at + 8, inner, explicit and vr != "UN", f"{own.path}.{k}.", depth + 1, k, charset, wanted)
                 at = inner
                 if n == UNDEFINED:
                     at = self.at + 8 if self.at + 8 <= len(self.data) and self._tag(self.at) == ITEM_END else self.at
@@ -254,6 +271,8 @@ def _encode(tag: int, vr: str, value: object, explicit: bool, big: bool) -> byte
     elif isinstance(value, str):
         raw = value.encode()
     else:
+        if vr not in NUMBERS:
+            raise Broken(f"{vr} of {tag:08X} holds bytes only")
         raw = np.asarray(value, order + NUMBERS[vr]).tobytes()
     raw += (b"\0" if vr in BINARY_VRS or vr == "UI" else b" ") * (len(raw) % 2)
     head = struct.pack(order + "HH", tag >> 16, tag & 0xFFFF)
@@ -261,6 +280,8 @@ def _encode(tag: int, vr: str, value: object, explicit: bool, big: bool) -> byte
         return head + struct.pack(order + "I", len(raw)) + raw
     if vr in LONG_VRS:
         return head + vr.encode() + b"\0\0" + struct.pack(order + "I", len(raw)) + raw
+    if len(raw) > 0xFFFE:
+        raise Broken(f"{vr} of {tag:08X} holds at most 65534 bytes, not {len(raw)}")
     return head + vr.encode() + struct.pack(order + "H", len(raw)) + raw
 
 

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.tags import CHARSET_VRS, STRING_VRS, lookup
-from ..operators.elements import selection
+from ..operators.elements import wanted_tree
 from . import charset, p10
+from .batches import batched
 
 ELEMENTS = "instance_id string, path string, depth int, parent_path string, item_index int, ordinal int, tag bigint, tag_hex string, keyword string, vr string, vm int, length bigint, present boolean, raw binary, text string, strings array<string>, longs array<bigint>, doubles array<double>, error string"
 
@@ -47,27 +48,31 @@ def _row(e: p10.Element, instance: str, ordinal: int) -> tuple:
     return instance, e.path, e.depth, e.parent, e.item, ordinal, e.tag, e.tag_hex, known[0] if known else None, e.vr, vm, e.length, True, raw, text, strings, longs, doubles, None
 
 
-def elements(records: DataFrame, load_until: int | None = None, select: dict | None = None) -> DataFrame:
+def elements(records: DataFrame, load_until: int | None = None, select: dict | None = None, keep_on_error: bool = True) -> DataFrame:
     """Element rows of (instance_id, content), in preorder.
 
-    A record that is broken gives the rows read so far and one row whose error says why. With `select`, a projection tree, other
-    root elements are dropped before they leave the parser. Null contents give one error row.
+    A record that is broken gives the rows read so far and one row whose error says why; without keep_on_error it ends the job, unless
+    nothing of it could be read. With `select`, a projection tree, other elements are skipped at every depth without being decoded; a sequence keeps its
+    own row. Null contents give one error row.
     """
-    wanted = {int(t, 16) for t in selection(select)} if select is not None else None
+    wanted = wanted_tree(select) if select is not None else None
     from pyspark.sql.pandas.types import to_arrow_schema
 
     schema = to_arrow_schema(StructType.fromDDL(ELEMENTS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for instance, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                parser = p10.Parser(content or b"", load_until)
-                rows = [_row(e, instance, i) for i, e in enumerate(parser.elements()) if wanted is None or (e.tag if not e.depth else int(e.path[:8], 16)) in wanted]
-                error = parser.error if content else "no content"
-                if error is not None:
-                    rows.append((instance, "", 0, "", None, len(rows), None, None, None, None, 0, 0, False, None, None, None, None, None, error))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+        yield from batched(schema, (row for batch in batches for instance, content in zip(batch.column(0).to_pylist(), batch.column(1)) for row in rows(instance, content.as_py())))
+
+    def rows(instance: str, content: bytes | None) -> Iterator[tuple]:
+        parser, n = p10.Parser(content or b"", load_until, wanted), 0
+        for e in parser.elements():
+            yield _row(e, instance, n)
+            n += 1
+        error = parser.error if content else "no content"
+        if error is not None and (keep_on_error or not n):
+            yield instance, "", 0, "", None, n, None, None, None, None, 0, 0, False, None, None, None, None, None, error
+        elif error is not None:
+            raise p10.Broken(f"{instance}: {error}")
 
     return records.select("instance_id", "content").mapInArrow(run, ELEMENTS)
 

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import re
+import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tags import STRING_VRS, lookup, tag_of
 from . import p10
+from .batches import batched
 
 
 def build(rows: DataFrame, instance: str, values: dict[str, str], syntax: str = p10.EXPLICIT) -> DataFrame:
@@ -26,28 +30,63 @@ def build(rows: DataFrame, instance: str, values: dict[str, str], syntax: str =
     schema = pa.schema([("instance_id", pa.string()), ("content", pa.binary()), ("error", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k, name in enumerate(batch.column(0).to_pylist()):
-                try:
-                    found = [(0x00080005, "CS", "ISO_IR 192")]
-                    for j, (tag, vr, _) in enumerate(known):
-                        value = batch.column(j + 1)[k].as_py()
-                        if value is not None:
-                            found.append((tag, vr, _value(vr, value)))
-                    row = (name, p10.write(found, syntax), None)
-                except (ValueError, OverflowError, TypeError, KeyError) as e:
-                    row = (name, None, str(e))
-                yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema)], schema=schema)
+        yield from batched(schema, (made(*row) for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns))))
+
+    def made(name: str, *values) -> tuple:
+        try:
+            found = [(0x00080005, "CS", "ISO_IR 192"), *((tag, vr, encoded(vr, v)) for (tag, vr, _), v in zip(known, values) if v is not None)]
+            return name, p10.write(found, syntax), None
+        except (ValueError, OverflowError, TypeError, KeyError, struct.error) as e:
+            return name, None, str(e)
 
     columns = [F.col(c).alias(f"v{j}") for j, (_, _, c) in enumerate(known)]
     return rows.select(F.col(instance).cast("string").alias("instance_id"), *columns).mapInArrow(run, "instance_id string, content binary, error string")
 
 
-def _value(vr: str, value):
+#: Longest value in characters by VR, and the shape that a value must have (fixed values of the public standard).
+LONGEST = {"AE": 16, "AS": 4, "CS": 16, "DA": 8, "DS": 16, "DT": 26, "IS": 12, "LO": 64, "LT": 10240, "PN": 64, "SH": 16, "ST": 1024, "TM": 14, "UI": 64}
+SHAPES = {
+    "AS": r"[0-9]{3}[DWMY]", "CS": r"[A-Z0-9 _]*", "DA": r"[0-9]{8}", "DS": r" *[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)? *", "DT": r"[0-9]{4,14}(\.[0-9]{1,6})?([+-][0-9]{4})?",
+    "IS": r" *[+-]?[0-9]+ *", "TM": r"[0-9]{2}([0-9]{2}([0-9]{2}(\.[0-9]{1,6})?)?)?", "UI": r"[0-9.]*",
+}
+WHOLE = frozenset("LT ST UT UR".split())
+
+
+def valid(vr: str, value) -> str | None:
+    """Why a value isn't one of its VR, or null: text by shape and length, numbers by type and range."""
+    several = value if isinstance(value, (list, tuple)) else [value]
     if vr in STRING_VRS:
-        return "\\".join(map(str, value)) if isinstance(value, list) else str(value)
+        for v in map(_text, several):
+            parts = v.split("=") if vr == "PN" else [v]
+            if vr in LONGEST and max(map(len, parts)) > LONGEST[vr]:
+                return f"{vr} holds {LONGEST[vr]} characters, not {len(v)}"
+            if v and vr in SHAPES and not re.fullmatch(SHAPES[vr], v):
+                return f"{v[:20]!r} is no {vr}"
+            if "\\" in v and vr not in WHOLE:
+                return f"a value of {vr} has no backslash"
+            if vr == "IS" and v and not -(2**31) <= int(v) < 2**31:
+                return f"{v} is out of range for IS"
+    elif vr in p10.NUMBERS:
+        kind = np.dtype(p10.NUMBERS[vr])
+        for v in several:
+            if isinstance(v, bool) or not isinstance(v, (int, float)) or kind.kind != "f" and (isinstance(v, float) or not np.iinfo(kind).min <= v <= np.iinfo(kind).max):
+                return f"{v!r} is out of range for {vr}"
+    return None
+
+
+def encoded(vr: str, value, strict: bool = False):
+    """A value as `p10.write` takes it. With `strict`, text must also have its VR's shape and length."""
     if isinstance(value, (bytes, bytearray)):
         return bytes(value)
+    if (strict or vr in p10.NUMBERS) and (why := valid(vr, value)) is not None:
+        raise p10.Broken(why)
+    if vr in STRING_VRS:
+        return "\\".join(map(_text, value)) if isinstance(value, (list, tuple)) else _text(value)
+    several = value if isinstance(value, (list, tuple)) else [value]
     if vr == "AT":
-        return b"".join(int(v).to_bytes(4, "little")[2:] + int(v).to_bytes(4, "little")[:2] for v in (value if isinstance(value, list) else [value]))
-    return value if isinstance(value, list) else [value]
+        return b"".join(int(v).to_bytes(4, "little")[2:] + int(v).to_bytes(4, "little")[:2] for v in several)
+    return list(several)
+
+
+def _text(value) -> str:
+    return str(value) if not isinstance(value, float) else f"{value:.10g}"
