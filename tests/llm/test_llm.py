@@ -267,6 +267,68 @@ def test_matched_against_all_runs():
     assert some > 20
 
 
+def near_passages(rng, pairs=60):
+    """Rows of two documents a pair that share a passage edited to a similarity of 0.80 to 0.95, among others' words, and the pairs."""
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    rows = []
+    for i in range(pairs):
+        shared = [word() for _ in range(rng.randint(60, 200))]
+        while True:
+            copy, n = list(shared), rng.randint(1, 1 + len(shared) // 40)
+            for at in rng.sample(range(len(copy)), n) if i % 2 else [k * len(copy) // (n + 1) for k in range(1, n + 1)]:
+                copy[at] = word()
+            a, b = ({tuple(x[k : k + 5]) for k in range(len(x) - 4)} for x in (shared, copy))
+            if 0.8 <= len(a & b) / len(a | b) <= 0.95:
+                break
+        for k, words in enumerate((shared, copy)):
+            rows.append((2 * i + k, " ".join([word() for _ in range(rng.randint(0, 300))] + words + [word() for _ in range(rng.randint(0, 300))])))
+    return rows, word
+
+
+def test_repeated_passages_near_copies_and_partitions(spark):
+    """Recall over all pairs at similarities of 0.80 to 0.95, against a scan of all pairs; the same rows however the table is dealt out."""
+    rng = random.Random(17)
+    rows, word = near_passages(rng)
+    twice = [word() for _ in range(60)]
+    text = [word() for _ in range(40)] + twice + [word() for _ in range(80)] + twice + [word() for _ in range(30)]
+    rows.append((500, " ".join(text)))
+    exact = [word() for _ in range(60)]
+    for i in range(12):  # two exact copies with edited ones between them
+        copy = list(exact)
+        for at in rng.sample(range(60), 6 if i not in (3, 9) else 0):
+            copy[at] = word()
+        rows.append((600 + i, " ".join([word() for _ in range(50)] + copy + [word() for _ in range(50)])))
+    hot = [word() for _ in range(55)]
+    rows += [(700 + i, " ".join([word() for _ in range(20)] + hot + [word() for _ in range(20)])) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    results = []
+    for parts in (1, 8):
+        found = sorted(passages.repeated_passages(df.repartition(parts)).collect())
+        results.append(found)
+    assert results[0] == results[1]
+    got = {r.doc_id: r for r in results[0]}
+    tokens_of = lambda text: passages.shingle_tokens(texts_of(pa.array([text])))[0][:-1]
+    tokens = {i: tokens_of(t) for i, t in rows}
+    width = passages.PASSAGE - passages.SHINGLE + 1
+    want = [(a, b) for a in tokens for b in tokens if a < b < 120 and passages.matched(tokens[a], tokens[b], width, 0.8)]
+    assert len(want) == 60
+    assert sum(a in got and b in got and got[a].class_id == got[b].class_id for a, b in want) >= 0.95 * len(want)
+    assert {(s.start // 10, s.end // 10) for s in got[500].spans} == {(4, 10), (18, 24)} and got[500].class_id == 500
+    assert got[603].class_id == got[609].class_id
+    assert {got[700 + i].class_id for i in range(60)} == {700}
+    assert all(r.class_id == min(x.doc_id for x in results[0] if x.class_id == r.class_id) for r in results[0])
+
+
+def test_joined_by_key(spark, monkeypatch):
+    from lumenfold.llm import graph
+
+    monkeypatch.setattr(graph, "HOT", 3)
+    rows = spark.createDataFrame([(i % 5 if i < 50 else 9, i) for i in range(2000)], "k long, v long")
+    table = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("v").alias("least"))
+    joined = graph.joined_by_key(rows, table, "k")
+    assert sorted(map(tuple, joined.select("k", "v", "least").collect())) == sorted((i % 5 if i < 50 else 9, i, i % 5 if i < 50 else 50) for i in range(2000))
+
+
 def test_audio(odd, empty):
     for n in (1, 64, 65):
         assert audio.decode_wav(audio.encode_wav(bytes(range(n)))) == (bytes(range(n)), 8000)
