@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbuf import others, record, steps, texts_of, with_carried
+from .textbuf import narrow, numbered, others, quoted, record, steps, texts_of, with_carried
 from .words import words_of
 
 Q, EDIT_RATE = 8, 0.1
@@ -166,7 +166,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE
                 n = [int(index.n[i]) for _, i, *_ in found]
                 yield record(schema, [doc[t] for t, *_ in found], [index.ids[i] for _, i, *_ in found], [x[2] for x in found], n, [1 - x[2] / k for x, k in zip(found, n)], [x[3] for x in found], [x[4] for x in found])
 
-        part = docs.select("doc_id", "text").mapInArrow(run, ddl)
+        part = narrow(docs).mapInArrow(run, ddl)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else docs.sparkSession.createDataFrame([], ddl)
 
@@ -178,10 +178,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE, bound:
         sent = docs.sparkSession.sparkContext.broadcast(Index(ids, texts, rate))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch, column in steps(batches):
+            for batch, column in steps(batches, 1):
                 stay = np.ones(len(column), bool)
                 stay[[t for t, *_ in sent.value.search(column)]] = False
-                yield batch.filter(pa.array(stay))
+                yield pa.RecordBatch.from_arrays(batch.columns, names=["doc_id", "text", *carry]).filter(pa.array(stay))
 
-        docs = docs.select("doc_id", "text", *carry).mapInArrow(run, with_carried("doc_id long, text string", docs, carry)).select(docs.columns)
+        docs = numbered(docs, ["doc_id", "text", *carry]).mapInArrow(run, with_carried([("doc_id", "long"), ("text", "string")], docs, carry)).select(*map(quoted, docs.columns))
     return docs

@@ -16,12 +16,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbuf import Texts, held_out, record, steps, texts_of, with_carried
+from .textbuf import Texts, fresh, held_out, quoted, record, steps, texts_of, with_carried
 from .training import sample
 
 #: Columns of a presence matrix, rows fitted per language at most, and landmarks per language at most.
 DIMENSIONS, PER_LANGUAGE, LANDMARKS = 1 << 14, 250, 24
 RIDGE, SHARPNESS, UNKNOWN = 1e-2, 4.0, "und"
+#: Least share of the softmax with which a language is accepted.
+LEAST = 0.4
 
 
 def presence(texts: Texts) -> np.ndarray:
@@ -95,7 +97,7 @@ def identify(docs: DataFrame, per_language: int = PER_LANGUAGE, carry: list[str]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        for batch, texts in steps(batches, "_text"):
+        for batch, texts in steps(batches, 1):
             n = len(texts)
             names, score = np.full(n, UNKNOWN, object), np.zeros(n)
             if model is not None:
@@ -108,12 +110,20 @@ def identify(docs: DataFrame, per_language: int = PER_LANGUAGE, carry: list[str]
                     score[a : a + 512] = e.max(axis=1) / e.sum(axis=1)
                 names[~known], score[~known] = UNKNOWN, 0.0
             made = record(schema, batch.column(0), batch.column(2), pa.array(names.tolist(), pa.string()), score)
-            yield pa.RecordBatch.from_arrays([*made.columns, *(batch.column("_text" if c == "text" else c) for c in carry)], names=[*made.schema.names, *carry])
-
-    rows = docs.select("doc_id", F.col("text").alias("_text"), held_out().alias("_own_held_out"), *(c for c in carry if c != "text"))
-    return rows.mapInArrow(run, with_carried(f"doc_id long, {prefix}held_out boolean, {prefix}lang_pred string, {prefix}score double", docs, carry))
-
-
-def accepted(docs: DataFrame, per_language: int = PER_LANGUAGE, least: float = 0.0) -> DataFrame:
-    """`docs` without the documents whose language is `und` or scores below `least`; all columns stay."""
-    return identify(docs, per_language, [c for c in docs.columns if c != "doc_id"], "_own_").filter((F.col("_own_lang_pred") != UNKNOWN) & (F.col("_own_score") >= least)).select(docs.columns)
+            kept = [batch.column(1 if c == "text" else 3 + more.index(c)) for c in carry]
+            yield pa.RecordBatch.from_arrays([*made.columns, *kept], names=[*made.schema.names, *carry])
+
+    more = [c for c in carry if c != "text"]
+    kept = [quoted(c).alias(f"c{k + 2}") for k, c in enumerate(more)]
+    rows = docs.select(F.col("doc_id").alias("c0"), F.col("text").alias("c1"), held_out().alias("held"), *kept)
+    columns = [("doc_id", "long"), (f"{prefix}held_out", "boolean"), (f"{prefix}lang_pred", "string"), (f"{prefix}score", "double")]
+    return rows.mapInArrow(run, with_carried(columns, docs, carry))
+
+
+def accepted(docs: DataFrame, per_language: int = PER_LANGUAGE, wanted: list[str] | None = None, least: float = LEAST) -> DataFrame:
+    """`docs` without the documents whose language is `und`, is not one of those wanted, or scores below `least`; all columns stay, whatever their names."""
+    own = fresh(docs, "own_")
+    judged = identify(docs, per_language, [c for c in docs.columns if c != "doc_id"], own)
+    name, score = F.col(f"{own}lang_pred"), F.col(f"{own}score")
+    kept = judged.filter((name != UNKNOWN) & (score >= least) & (name.isin(list(wanted)) if wanted is not None else F.lit(True)))
+    return kept.select(*map(quoted, docs.columns))

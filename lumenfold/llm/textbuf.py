@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import os
@@ -12,9 +13,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 #: Bytes of text that one vectorised step works on; a longer single text is a step of its own.
 STEP_BYTES = (1 << 20) - (1 << 16)
@@ -47,7 +48,7 @@ def texts_of(array: pa.Array) -> Texts:
     return Texts(buf[off[0] : off[-1]], off - off[0])
 
 
-def steps(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = STEP_BYTES) -> Iterator[tuple[pa.RecordBatch, Texts]]:
+def steps(batches: Iterator[pa.RecordBatch], column: str | int = "text", limit: int = STEP_BYTES) -> Iterator[tuple[pa.RecordBatch, Texts]]:
     """Slices of the batches with about `limit` bytes of text each."""
     for batch in batches:
         n, whole = batch.num_rows, texts_of(batch.column(column))
@@ -77,9 +78,26 @@ def record(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+def quoted(name: str) -> Column:
+    """A top-level column, whatever its name holds."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
 def narrow(docs: DataFrame, *names: str) -> DataFrame:
     """Only the columns that are needed, so that others reach neither the scan nor Python."""
-    return docs.select(*(F.col(f"`{n}`") for n in names or ("doc_id", "text")))
+    return docs.select(*map(quoted, names or ("doc_id", "text")))
+
+
+def numbered(docs: DataFrame, names: list[str]) -> DataFrame:
+    """The named columns as c0, c1, .., so that no name of a table's own clashes with one used here."""
+    return docs.select(*(quoted(n).alias(f"c{k}") for k, n in enumerate(names)))
+
+
+def fresh(docs: DataFrame, stem: str) -> str:
+    """A prefix that no column of the table begins with."""
+    while any(c.lower().startswith(stem.lower()) for c in docs.columns):
+        stem = f"_{stem}"
+    return stem
 
 
 def others(docs: DataFrame) -> list[str]:
@@ -87,9 +105,10 @@ def others(docs: DataFrame) -> list[str]:
     return [c for c in docs.columns if c not in ("doc_id", "text")]
 
 
-def with_carried(schema: str, docs: DataFrame, carry: list[str]) -> StructType:
-    """The schema of a result that goes on with columns of `docs`."""
-    return StructType([*StructType.fromDDL(schema), *(docs.schema[c] for c in carry)])
+def with_carried(columns: list[tuple[str, str]], docs: DataFrame, carry: list[str]) -> StructType:
+    """The schema of a result of (name, type) columns that goes on with columns of `docs`."""
+    own = [StructField(name, StructType.fromDDL(f"x {kind}")[0].dataType) for name, kind in columns]
+    return StructType([*own, *(StructField(c, docs.schema[c].dataType) for c in carry)])
 
 
 def carried(made: pa.RecordBatch, batch: pa.RecordBatch, first: int) -> pa.RecordBatch:
@@ -98,22 +117,44 @@ def carried(made: pa.RecordBatch, batch: pa.RecordBatch, first: int) -> pa.Recor
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; sets a local one only where none is configured, as in tests."""
+    """The cluster's shared folder. A local session gets one of its own where none is configured, as in tests; on a cluster that is an error, for workers share no local folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = f"file://{os.path.join(tempfile.gettempdir(), 'lumenfold-shared')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """`df` written once to the shared folder and read back: lineage ends there and no step runs twice."""
+    """`df` written once to the shared folder and read back: lineage ends there and no step runs twice. The folder goes when the session ends, or by `clear`."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/lumenfold/{uuid.uuid4().hex}"
+    path = f"{session_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_SESSION = uuid.uuid4().hex
+_CLEARED: set[str] = set()
+
+
+def session_folder(spark: SparkSession) -> str:
+    """This process's part of the shared folder, deleted when it ends."""
+    path = f"{shared_folder(spark)}/lumenfold/{_SESSION}"
+    if path not in _CLEARED:
+        _CLEARED.add(path)
+        atexit.register(clear, spark, path)
+    return path
+
+
+def clear(spark: SparkSession, path: str | None = None) -> None:
+    """Deletes what `stored` has written; results that are still to be computed from it can't be any more."""
+    with contextlib.suppress(Exception):  # the session may have ended before
+        target = spark._jvm.org.apache.hadoop.fs.Path(path or session_folder(spark))
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
