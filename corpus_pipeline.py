@@ -8,23 +8,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.llm import decontam, langid, linededup, packing, simhash
-from lumenfold.llm.textbuf import documents, others, shared_folder
+from lumenfold.llm.textbuf import documents, fresh, others, quoted, session_folder
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language; null texts and texts without a letter go."""
+    """Documents in one of the learned languages; null texts, texts without a letter and those that no language scores 0.4 for go."""
     return langid.accepted(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that at least three of them have; n_chars, where there is one, follows the text."""
-    kept = linededup.dedup_lines(docs, carry=others(docs), prefix="_own_")
-    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns) if "n_chars" in docs.columns else kept.select(docs.columns)
+    kept = linededup.dedup_lines(docs, carry=others(docs), prefix=fresh(docs, "own_"))
+    columns = [F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else quoted(c) for c in docs.columns]
+    return kept.select(*columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near-duplicates."""
-    return simhash.one_of_each(docs)
+    """The document with the smallest doc_id of each group of near-duplicates: shingles of five words, a similarity of 0.8."""
+    return simhash.one_of_each(docs, simhash.near_groups)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +45,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each written to the shared folder and read again as the next one's documents."""
-    docs, folder = documents(spark, sf_dir), f"{shared_folder(spark)}/pipeline/{uuid.uuid4().hex}"
+    docs, folder = documents(spark, sf_dir), f"{session_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
