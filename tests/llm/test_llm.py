@@ -445,6 +445,42 @@ def test_decontamination(spark, odd, empty):
     assert decontam.contamination(odd, bench).count() == 0 and decontam.clean(odd, bench).columns == odd.columns
 
 
+def test_contamination_against_scan():
+    """Every item of 1 to 70 bytes against every text, with near misses, by edit distances over whole texts."""
+    rng = random.Random(21)
+
+    def least(item, text):
+        row = [0] * (len(text) + 1)
+        for i, c in enumerate(item, 1):
+            new = [i, *[0] * len(text)]
+            for j, x in enumerate(text, 1):
+                new[j] = min(row[j - 1] + (c != x), row[j] + 1, new[j - 1] + 1)
+            row = new
+        return min(row)
+
+    some = 0
+    for trial in range(25):
+        alphabet = "ab" if trial % 5 == 0 else "abcdefgh"
+        items = ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 70))) for _ in range(20)]
+        strings = ["", "a" * 300 if trial % 5 == 0 else "x"]
+        for item in items:
+            copy = list(item)
+            for k in range(rng.randint(0, 1 + len(item) // 8)):
+                copy[rng.randrange(len(copy))] = rng.choice(["", "z", "qq"])
+            strings.append("".join(rng.choice("mnop") for _ in range(30)) + " " * (rng.random() < 0.5) + "".join(copy) + " " + "".join(rng.choice("mnop") for _ in range(20)))
+        searcher = decontam.Searcher(list(range(20)), [x.encode() for x in items], 0.1)
+        got = {(t, searcher.ids[i]): e for t, i, e, *_ in searcher.search(texts_of(pa.array(strings)))}
+        want = {}
+        for t, text in enumerate(" ".join(x.split()) for x in strings):
+            for k, item in enumerate(items):
+                e = least(item, text)
+                if e <= decontam.edit_budget(len(item)) and (decontam.gram(len(item)) or f" {item} " in f" {text} "):
+                    want[t, k] = e
+        assert got == want
+        some += len(want)
+    assert some > 150
+
+
 def test_language(odd, empty, spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0]
