@@ -3,8 +3,9 @@
 The pre-tokenizer's pattern is compiled into a deterministic transducer over symbol classes of UTF-8 bytes. A text's bytes
 are cut into equal chunks; all chunks run side by side, each from every state, and give a map from entry state to exit
 state. A parallel prefix scan composes these maps, so each chunk learns its true entry state, and a second run marks the
-transitions that close a span. A span's closing transition emits the tokens of that span, which a lexicon annotates once per
-distinct span with the library's own ids; texts that hold a special token's string go to the library whole.
+transitions that close a span. Within a span a second transducer, compiled from the vocabulary's merges, runs over the bytes and counts the tokens that each transition
+completes; a lexicon keeps its result for each distinct span, compared byte by byte. The counts of spans are added by prefix sums. Texts that hold a special
+token's string go to the library whole.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ LEXICON = 1 << 20
 END, LETTER, NUMBER, OTHER, SHORT, LONG, LEAD_SPACE, LAST_SPACE, SPACE, INNER = range(10)
 # States: fresh; in letters, numbers, other, white space; after a space that joins what follows; one or two letters left of a contraction.
 FRESH, IN_L, IN_N, IN_O, IN_W, JOIN, ONE_LEFT, TWO_LEFT = range(8)
+#: The rank of a pair that no merge joins.
+NEVER = 1 << 40
 #: White space of the pattern (fixed values).
 WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
@@ -140,7 +143,7 @@ def _opens(symbols: np.ndarray) -> np.ndarray:
 
 
 class Lexicon:
-    """Distinct spans and their ids, found by hash in an open table; bounded: a full one starts anew."""
+    """Distinct spans, their bytes and ids, found by hash in an open table; bounded: a full one starts anew."""
 
     def __init__(self, encode, size: int = LEXICON):
         self.encode, self.size = encode, size
@@ -152,6 +155,42 @@ class Lexicon:
         self.n, self.used = 0, 0
         self.off = np.zeros(1024, np.int64)
         self.ids = np.zeros(4096, np.uint32)
+        self.at = np.zeros(1024, np.int64)  # where each span's bytes begin and end
+        self.bytes = np.zeros(8192, np.uint8)
+
+    def same(self, place: np.ndarray, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Whether the spans of `buf` are, byte by byte, those at these places. `buf` and the kept bytes have 8 more bytes than their spans."""
+        mine = self.at[place]
+        size = end - start
+        out = self.at[place + 1] - mine == size
+        here, there = (np.ndarray((len(b) - 7,), "<u8", b, 0, (1,)) for b in (buf, self.bytes))
+        left = np.flatnonzero(out)
+        for k in range(0, int(size.max(initial=0)), 8):
+            left = left[size[left] > k]
+            short = np.minimum(size[left] - k, 8).astype(np.uint64)
+            differ = (here[start[left] + k] ^ there[mine[left] + k]) << (np.uint64(64) - np.uint64(8) * short)
+            out[left[differ != 0]] = False
+            left = left[differ == 0]
+        return out
+
+    def keep(self, spans: list[bytes]) -> np.ndarray:
+        """Places of new spans, without entries in the table."""
+        ids, off = self.encode(spans)
+        size = np.cumsum([0, *map(len, spans)])
+        while self.n + len(off) > len(self.off):
+            self.off, self.at = (np.concatenate([x, np.zeros(len(x), np.int64)]) for x in (self.off, self.at))
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
+        first = int(self.at[self.n])
+        while first + size[-1] + 8 > len(self.bytes):
+            self.bytes = np.concatenate([self.bytes, np.zeros(len(self.bytes), np.uint8)])
+        self.bytes[first : first + size[-1]] = np.frombuffer(b"".join(spans), np.uint8)
+        self.at[self.n + 1 : self.n + len(off)] = first + size[1:]
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.off[self.n + 1 : self.n + len(off)] = self.used + off[1:]
+        places = np.arange(self.n, self.n + len(spans), dtype=np.int32)
+        self.n, self.used = self.n + len(spans), self.used + len(ids)
+        return places
 
     def _find(self, h: np.ndarray) -> np.ndarray:
         mask = np.uint64(len(self.slots) - 1)
@@ -176,15 +215,7 @@ class Lexicon:
         if self.n and self.n + len(new) > self.size:
             self.clear()
             return self.lookup(h, span)
-        ids, off = self.encode([span(i) for i in missing[which].tolist()])
-        while self.n + len(off) > len(self.off):
-            self.off = np.concatenate([self.off, np.zeros(len(self.off), np.int64)])
-        while self.used + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
-        self.ids[self.used : self.used + len(ids)] = ids
-        self.off[self.n + 1 : self.n + len(off)] = self.used + off[1:]
-        places = np.arange(self.n, self.n + len(new), dtype=np.int32)
-        self.n, self.used = self.n + len(new), self.used + len(ids)
+        places = self.keep([span(i) for i in missing[which].tolist()])
         if self.n > len(self.slots) // 2:  # one step with more distinct spans than the bound
             old = np.flatnonzero(self.places >= 0)
             new, places = np.concatenate([self.slots[old], new]), np.concatenate([self.places[old], places])
@@ -206,42 +237,117 @@ class Lexicon:
             new, places, slot = new[rest], places[rest], (slot[rest] + 1) & mask
 
 
+class Merges:
+    """A byte-pair vocabulary as a deterministic transducer over a span's bytes.
+
+    Whatever follows, the tokens of a span's beginning end with one token, so the state at a place is the last token before it. A transition reads the bytes of a token that may follow that one and
+    counts one token; every place has exactly one. Two tokens may
+    stand side by side if no merge across their border would come before the merges that make them; this is read off the merges' ranks once for each pair that is met.
+    """
+
+    def __init__(self, vocabulary: dict[str, int], merges: list[tuple[str, str]], whole: bool = False):
+        import ahocorasick
+
+        self.id, self.whole = vocabulary, whole
+        self.names = {i: token for token, i in vocabulary.items()}
+        self.rank = {pair: k for k, pair in enumerate(merges)}
+        self.start = max(self.names) + 1  # the state before a span's first byte
+        self.automaton = ahocorasick.Automaton()
+        for token, i in vocabulary.items():
+            self.automaton.add_word(token, (i, len(token)))
+        self.automaton.make_automaton()
+        self.spines: dict[str, tuple | None] = {}
+        self.beside: dict[int, bool] = {}
+
+    def _spine(self, token: str) -> tuple[list, list] | None:
+        """How a token's first and last pieces grow: (piece, rank of the merge that takes it), on the left and on the right side; null if merges don't make the token."""
+        if token not in self.spines:
+            pieces, sides = list(token), ([(token[0], -1)], [(token[-1], -1)])
+            while len(pieces) > 1:
+                rank, at = min((self.rank.get(pair, NEVER), k) for k, pair in enumerate(zip(pieces, pieces[1:])))
+                if rank == NEVER:
+                    break
+                new = pieces[at] + pieces[at + 1]
+                if at == 0:
+                    sides[0].append((new, max(rank, sides[0][-1][1])))
+                if at == len(pieces) - 2:
+                    sides[1].append((new, max(rank, sides[1][-1][1])))
+                pieces[at : at + 2] = [new]
+            self.spines[token] = tuple([(p, side[k + 1][1] if k + 1 < len(side) else NEVER) for k, (p, _) in enumerate(side)] for side in sides) if len(pieces) == 1 else None
+        return self.spines[token]
+
+    def follows(self, one: str, two: str) -> bool:
+        """Whether the merges leave these two side by side: at no time does a merge of the pieces at their border come before the next merge of either. Of equal merges the one further left comes first."""
+        left, right, i, j = self._spine(two), self._spine(one), 0, 0
+        if left is None or right is None:
+            return False
+        while True:
+            (r, next_r), (l, next_l) = right[1][i], left[0][j]
+            rank = self.rank.get((r, l), NEVER)
+            if rank < next_r and rank <= next_l and rank != NEVER:
+                return False
+            if next_r == next_l == NEVER:
+                return True
+            if next_r <= next_l:
+                i += 1
+            else:
+                j += 1
+
+    def _may_follow(self, before: int, token: int) -> bool:
+        ok = self._spine(self.names[token]) is not None if before == self.start else self.follows(self.names[before], self.names[token])
+        self.beside[before << 32 | token] = ok
+        return ok
+
+    def tokens(self, span: str) -> list[int]:
+        """The ids of a span, in the alphabet of the vocabulary."""
+        if self.whole and span in self.id:
+            return [self.id[span]]
+        last, sizes, known = [self.start] + [-1] * len(span), [0] * (len(span) + 1), self.beside.get
+        for end, (token, size) in self.automaton.iter(span):
+            end += 1
+            if last[end] < 0:
+                before = last[end - size]
+                ok = known(before << 32 | token)
+                if ok or ok is None and self._may_follow(before, token):
+                    last[end], sizes[end] = token, size
+        out, at = [], len(span)
+        while at:
+            out.append(last[at])
+            at -= sizes[at]
+        out.reverse()
+        return out
+
+
+@lru_cache
+def _alphabet() -> str:
+    """The character that a byte-level vocabulary has for each byte: printable ones themselves, the others from 256 on in order."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return "".join(chr(b if b in printable else next(others)) for b in range(256))
+
+
 class CompiledTokenizer:
     """Counts and ids of whole texts as the library gives them for a byte-level BPE vocabulary, without added special tokens."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import json
+
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
-        self.size = np.zeros(self.library.get_vocab_size(), np.int64)  # a token has one character of the byte alphabet for each byte
-        for token, i in self.library.get_vocab().items():
-            self.size[i] = len(token)
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        self.merges = Merges(model["vocab"], pairs, bool(model.get("ignore_merges")))
         self.lexicon = Lexicon(self._annotate)
 
     def _annotate(self, spans: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of spans end to end, and their offsets. Spans that begin with a space and go on otherwise stay spans when joined."""
-        joins = [s[0] == 32 and len(s) > 1 and (32 < s[1] < 128 or s[1] >= 128 and not s[1:].decode("utf-8", "replace")[0].isspace()) for s in spans]
-        at = [i for i, x in enumerate(joins) if x]
-        if at:
-            ids = np.array(self._library_ids(b"".join([spans[i] for i in at])), np.uint32)
-            sizes = np.array([len(spans[i]) for i in at])
-            cut = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum(sizes)) + 1
-            order = np.array(at)
-        alone = [i for i, x in enumerate(joins) if not x]
-        parts = [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast([spans[i].decode("utf-8", "replace") for i in alone], add_special_tokens=False)]
-        n = np.zeros(len(spans), np.int64)
-        n[alone] = [len(p) for p in parts]
-        if at:
-            n[order] = np.diff(cut, prepend=0)
-        off = np.concatenate([[0], np.cumsum(n)])
-        flat = np.zeros(off[-1], np.uint32)
-        for i, p in zip(alone, parts):
-            flat[off[i] : off[i + 1]] = p
-        if at:
-            flat[np.repeat(off[order] - np.concatenate([[0], cut[:-1]]), n[order]) + np.arange(len(ids))] = ids
-        return flat, off
+        """Ids of spans end to end, and their offsets, from the compiled merges."""
+        alphabet = _alphabet()
+        parts = [self.merges.tokens(span.decode("latin-1").translate(alphabet)) for span in spans]
+        return np.array([i for p in parts for i in p], np.uint32), np.cumsum([0, *map(len, parts)])
 
     def _spans(self, texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The lexicon's place of each span, the first span of each text and which texts go to the library."""
@@ -257,6 +363,9 @@ class CompiledTokenizer:
         start, end = np.delete(opens, last), np.delete(np.concatenate([opens[1:], [len(buf)]]), last)
         sums = prefix_sums(buf)
         place = self.lexicon.lookup(span_hash(sums, start, end), lambda i: buf[start[i] : end[i]].tobytes())
+        other = np.flatnonzero(~self.lexicon.same(place, np.concatenate([buf, np.zeros(8, np.uint8)]), start, end))
+        if len(other):  # different spans of one hash
+            place[other] = self.lexicon.keep([buf[start[i] : end[i]].tobytes() for i in other.tolist()])
         return place, np.concatenate([[0], last - np.arange(len(last))]), np.array(whole, np.int64)
 
     def counts(self, texts: Texts) -> np.ndarray:

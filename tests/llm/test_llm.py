@@ -232,6 +232,32 @@ def test_tokens_like_library(odd, empty):
     assert len(rows) == len(ODD) and sorted(r.n_tokens for r in rows)[:2] == [0, 0] and tokens.token_counts(empty).count() == 0
 
 
+def test_merges_like_library():
+    """Spans against the library: words of texts, random ones, long runs; and colliding hashes."""
+    compiled = tokens.tokenizer(tokens.vocabulary_path())
+    rng = random.Random(4)
+    vocabulary = [t for t in compiled.merges.id if len(t) > 1]
+    alphabet = tokens._alphabet()
+    spans = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(1, 24))) for _ in range(3000)]
+    spans += [" " + "".join(rng.choice(["th", "e", "ing", "tion", "a", "s", "un", "er", "re"]) for _ in range(rng.randint(1, 9))) for _ in range(3000)]
+    spans += ["a" * 700, " " * 300, "日本語" * 50, "é" * 99, "=" * 513, "ñandú", "\u2028", "abab" * 60]
+    ids, off = compiled._annotate([s.encode() for s in spans])
+    pieces = dict(zip(alphabet, range(256)))
+    for i, span in enumerate(spans):
+        got = [bytes(pieces[c] for c in compiled.library.id_to_token(int(x))) for x in ids[off[i] : off[i + 1]]]
+        assert b"".join(got) == span.encode()
+        if not any(c.isspace() for c in span[1:]):
+            assert ids[off[i] : off[i + 1]].tolist() == compiled.library.encode(span, add_special_tokens=False).ids, span
+    for one, two in ((rng.choice(vocabulary), rng.choice(vocabulary)) for _ in range(3000)):
+        whole = compiled.merges.tokens(one + two)
+        assert (whole == [compiled.merges.id[one], compiled.merges.id[two]]) == compiled.merges.follows(one, two)
+    lexicon = tokens.Lexicon(compiled._annotate, 64)
+    buf = np.frombuffer(b"abcabdabc\0\0\0\0\0\0\0\0", np.uint8)
+    start, end = np.array([0, 3, 6]), np.array([3, 6, 9])
+    place = lexicon.lookup(np.array([5, 5, 5], np.uint64), lambda i: buf[start[i] : end[i]].tobytes())
+    assert lexicon.same(place, buf, start, end).tolist() == [True, False, True]
+
+
 def test_state_maps_compose():
     """A run of letters and apostrophes gives chunks whose maps don't meet at once."""
     compiled = tokens.tokenizer(tokens.vocabulary_path())
