@@ -1,9 +1,9 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Four small transducers read a clause's word classes: one for negation, whose effect fades after a few words, one for reported speech, which
-lasts to the clause's end, one for a target (somebody addressed or named), and one that adds up insults and threats. Their composition is
-one deterministic transducer whose transitions carry multipliers; a matched clause scores the weighted sum along its path.
-Insults and threats are seeded and, with their weights, learned from labelled rows; a logistic curve over the clause scores gives the probability.
+Small transducers read a clause's word classes. Two say what matches weigh: insults, more in a phrase of them, and threats, in full after a word of intent. Two say what the clause makes of them: negation,
+whose effect fades after a few words, and reported speech, which lasts to the clause's end. The first two are joined and composed with the others into one deterministic transducer; a target (somebody addressed or
+named) is read from both ends of the clause. A match's weight is that of its transitions times its word's own, and a text's score comes from its matched clauses' weights alone.
+Insults and threats are seeded and, with their weights, learned from labelled rows; learned words and stems are insults. A logistic curve over the clause scores gives the probability.
 """
 
 from __future__ import annotations
@@ -22,52 +22,102 @@ from .hashing import prefix_sums, span_hash
 from .textbuf import Texts, held_out, record, steps, texts_of
 from .training import sample
 
-#: Rows fitted per label at most; least documents that a learned word needs; bytes of a learned stem.
+#: Rows fitted per label at most; least documents that a learned word needs, or a hundredth of the toxic ones; bytes of a learned stem.
 PER_LABEL, SUPPORT, STEM = 1500, 3, 6
 #: Labelled texts that are read together.
 PART = 200
 
-WORD, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+WORD, INSULT, THREAT, TARGET, NEGATION, REPORT, INTENT = CLASSES = range(7)
 #: Seed words of the grammar (fixed values), in English, German, French and Spanish.
 SEEDS = {
     INSULT: "idiot idiots moron morons stupid scum loser losers pathetic worthless disgusting trash clown dumb idiota idiotas estúpido dummkopf idiote imbécile",
     THREAT: "kill hurt destroy töten umbringen tuer matar",
-    TARGET: "you your yours u he she they them his her their du dich dir ihr euch er sie tu toi te vous ils elles tú ti usted ustedes ellos ellas",
+    TARGET: "you your yours u he she they him his her their du dich dir ihr euch er sie tu toi te vous il ils elles tú ti usted ustedes ellos ellas",
     NEGATION: "not no never nor n't without nicht kein keine nie ohne pas jamais sans non nunca jamás sin",
     REPORT: "said says say wrote writes called quoted claimed sagte sagt schrieb nannte dit disait écrit appelle dijo dice escribió llamó",
+    INTENT: "will shall gonna going i'll we'll should must deserve deserves werde werden soll muss vais allons doit voy vamos debe",
 }
-#: A seed's weight before learning, and the least weight that a learned word must have.
-SEED_WEIGHT, LEAST_WEIGHT = 2.0, 1.0
-NEGATED, REPORTED, TARGETED, FADES = 0.3, 0.6, 1.25, 3
+#: A seed's weight before learning, and the least weight that a learned word, and a learned stem, must have.
+SEED_WEIGHT, LEAST_WEIGHT, LEAST_STEM = 2.0, 1.0, 1.5
+#: Multipliers: after a negation, in reported speech, with a target in the clause, of an insult right after another, of a threat without a word of intent; and the words after which a negation or an intent is over.
+NEGATED, REPORTED, TARGETED, PHRASED, BARE, FADES = 0.3, 0.6, 1.25, 1.2, 0.5, 3
+#: Score of a clause above which more counts no further.
+MOST = 10.0
 
 
-def _compose() -> tuple[dict, dict]:
-    """Next state and multiplier by (state, class) of the composed transducer. A state is (negation, report, target)."""
+@dataclass(frozen=True)
+class Transducer:
+    """A deterministic transducer over word classes: the next state and the weight of each transition, by (state, class). The first state is 0."""
 
-    def negation(s: int, c: int) -> int:
-        return 1 if c == NEGATION else 0 if s == 0 or s >= FADES else s + 1
+    to: dict[tuple, int]
+    weight: dict[tuple, float]
 
-    to, factor = {}, {}
-    for state, c in product(product(range(FADES + 1), range(2), range(2)), range(6)):
-        n, r, t = state
-        to[state, c] = negation(n, c), int(r or c == REPORT), int(t or c == TARGET)
-        factor[state, c] = (NEGATED if n else 1.0) * (REPORTED if r else 1.0) * (TARGETED if t else 1.0) if c in (INSULT, THREAT) else 0.0
-    return to, factor
 
+def _transducer(states: int, to, weight) -> Transducer:
+    every = list(product(range(states), CLASSES))
+    return Transducer({(s, c): to(s, c) for s, c in every}, {(s, c): weight(s, c) for s, c in every})
 
-TO, FACTOR = _compose()
-START = (0, 0, 0)
 
+def _fading(opens: int, c: int, s: int) -> int:
+    return 1 if c == opens else 0 if s == 0 or s >= FADES else s + 1
 
-def clause_score(tokens: list[tuple[int, float]]) -> float:
-    """Weight of the path that the composed transducer takes through (class, weight) tokens."""
-    state, total, late = START, 0.0, 0.0
+
+#: What matches weigh: insults, more in a phrase of them; threats, in full after a word of intent.
+INSULTS = _transducer(2, lambda s, c: int(c == INSULT), lambda s, c: (PHRASED if s else 1.0) if c == INSULT else 0.0)
+THREATS = _transducer(FADES + 1, lambda s, c: _fading(INTENT, c, s), lambda s, c: (1.0 if s else BARE) if c == THREAT else 0.0)
+#: What the clause around makes of a match.
+NEGATIONS = _transducer(FADES + 1, lambda s, c: _fading(NEGATION, c, s), lambda s, c: NEGATED if s else 1.0)
+REPORTS = _transducer(2, lambda s, c: int(s or c == REPORT), lambda s, c: REPORTED if s else 1.0)
+#: Read from both ends: a target may stand before or after the match.
+TARGETS = _transducer(2, lambda s, c: int(s or c == TARGET), lambda s, c: float(s))
+
+
+def union(one: Transducer, two: Transducer) -> Transducer:
+    """Both at once; weights are added."""
+    return _joined(one, two, lambda a, b: a + b)
+
+
+def compose(one: Transducer, two: Transducer) -> Transducer:
+    """Both at once; weights are multiplied."""
+    return _joined(one, two, lambda a, b: a * b)
+
+
+def _joined(one: Transducer, two: Transducer, weigh) -> Transducer:
+    """The product of two, with only the states that can be reached, numbered in order."""
+    number, todo, to, weight = {(0, 0): 0}, [(0, 0)], {}, {}
+    while todo:
+        a, b = todo.pop(0)
+        for c in CLASSES:
+            then = one.to[a, c], two.to[b, c]
+            if then not in number:
+                number[then] = len(number)
+                todo.append(then)
+            to[number[a, b], c] = number[then]
+            weight[number[a, b], c] = weigh(one.weight[a, c], two.weight[b, c])
+    return Transducer(to, weight)
+
+
+CLAUSE = compose(compose(union(INSULTS, THREATS), NEGATIONS), REPORTS)
+
+
+def path_weights(tokens: list[tuple[int, float]], clause: Transducer = CLAUSE) -> list[float]:
+    """What each of a clause's (class, weight) tokens adds: its weight times that of the composed transducer's transition, and of the targets' on either side."""
+    out, state, before = [], 0, []
+    target = 0
     for c, weight in tokens:
-        gain = FACTOR[state, c] * weight
-        total += gain
-        late += gain if not state[2] else 0.0
-        state = TO[state, c]
-    return total + (late * (TARGETED - 1) if state[2] else 0.0)  # a target may follow
+        out.append(clause.weight[state, c] * weight)
+        before.append(target)
+        state, target = clause.to[state, c], TARGETS.to[target, c]
+    target = 0
+    for k in range(len(tokens) - 1, -1, -1):
+        if before[k] or target:
+            out[k] *= TARGETED
+        target = TARGETS.to[target, tokens[k][0]]
+    return out
+
+
+def clause_score(tokens: list[tuple[int, float]]) -> float:
+    return sum(path_weights(tokens))
 
 
 _KIND = np.zeros(256, np.uint8)  # 1: of a word, 2: ends a clause
@@ -124,39 +174,35 @@ class Grammar:
     classes: dict[int, tuple[int, float]]
     stems: dict[int, float]
     curve: np.ndarray
+    clause: Transducer = CLAUSE
 
     def __post_init__(self):
         self.core = _Table([h for h, (c, _) in self.classes.items() if c in (INSULT, THREAT)])
         self.stem = _Table(list(self.stems))
 
     def features(self, texts: Texts) -> np.ndarray:
-        """By text: sum and maximum of matched clauses' scores, distinct matches, and matches by the text's words."""
-        out = np.zeros((len(texts), 5))
+        """By text: the sum and the maximum of matched clauses' scores, and the sum of each different match's greatest path weight."""
+        out = np.zeros((len(texts), 3))
         t = tokens_of(texts)
-        out[:, 4] = np.log1p(np.bincount(t.text, minlength=len(texts)))
         hit = np.flatnonzero(self.core.has(t.word) | (self.stem.has(t.stem) if self.stems else False))
         if not len(hit):
             return out
         clauses = np.unique(t.clause[hit])
         lo, hi = np.searchsorted(t.clause, clauses), np.searchsorted(t.clause, clauses, "right")
-        kinds: dict[int, set] = {}
-        words, stems = t.word, t.stem
+        different: dict[int, dict] = {}
         for a, b in zip(lo.tolist(), hi.tolist()):
-            path = []
-            doc = int(t.text[a])
-            for w, s in zip(words[a:b].tolist(), stems[a:b].tolist()):
-                found = self.classes.get(w)
-                if found is None:
-                    found = (INSULT, self.stems[s]) if s in self.stems else (WORD, 0.0)
-                if found[0] in (INSULT, THREAT):
-                    kinds.setdefault(doc, set()).add(w)
-                path.append(found)
-            score = clause_score(path)
+            doc, words = int(t.text[a]), t.word[a:b].tolist()
+            path = [self.classes.get(w) or ((INSULT, self.stems[s]) if s in self.stems else (WORD, 0.0)) for w, s in zip(words, t.stem[a:b].tolist())]
+            weights = path_weights(path, self.clause)
+            score = sum(weights)
             out[doc, 0] += score
             out[doc, 1] = max(out[doc, 1], score)
-        for doc, seen in kinds.items():
-            out[doc, 2] = len(seen)
-        out[:, 3] = np.log1p(np.bincount(t.text[hit], minlength=len(texts)))
+            best = different.setdefault(doc, {})
+            for w, x in zip(words, weights):
+                if x:
+                    best[w] = max(best.get(w, 0.0), x)
+        for doc, best in different.items():
+            out[doc, 2] = sum(best.values())
         return out
 
     def scores(self, texts: Texts) -> np.ndarray:
@@ -182,8 +228,8 @@ class _Table:
 
 
 def _expanded(f: np.ndarray) -> np.ndarray:
-    total, most, kinds, hits, size = f.T
-    return np.stack([np.ones(len(f)), np.sqrt(total), most, kinds, hits, size * (kinds == 0), size * (kinds > 0), (kinds > 0) * 1.0, (kinds > 1) * 1.0], axis=1)
+    total, most, different = f.T
+    return np.stack([np.ones(len(f)), np.sqrt(total), np.minimum(most, MOST), np.sqrt(different), (different > 0) * 1.0], axis=1)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -229,15 +275,15 @@ def _once(h: np.ndarray, row: np.ndarray) -> np.ndarray:
     return h[first]
 
 
-def fit(texts: list[bytes], labels: list[int], sizes: dict) -> Grammar:
+def fit(texts: list[bytes], labels: list[int], sizes: dict, clause: Transducer = CLAUSE) -> Grammar:
     """Learned words are those whose document frequency among toxic rows exceeds what the others and their length lead one to expect."""
     classes = {_hash(w): (c, SEED_WEIGHT if c in (INSULT, THREAT) else 0.0) for c, words in SEEDS.items() for w in words.split()}
     y = np.array(labels, np.int64)
     if not len(y) or y.min() == y.max():
-        return Grammar(classes, {}, np.array([-3.0, 1.0, 0.5, 0.5, 0.5, 0, 0, 0, 0]))
+        return Grammar(classes, {}, np.array([-3.0, 0.5, 0.5, 0.5, 0.0]))
     columns = [texts_of(pa.array(texts[i : i + PART], pa.binary()).cast(pa.string())) for i in range(0, len(texts), PART)]
-    words, stems = _frequencies(columns, y, SUPPORT)
     n0, n1 = (y == 0).sum(), (y == 1).sum()
+    words, stems = _frequencies(columns, y, max(SUPPORT, round(n1 / 100)))
 
     def weight(df1: int, df0: int) -> float:
         return math.log((df1 + 0.5) / (n1 + 1)) - math.log((df0 + 0.5) / (n0 + 1)) - 1.0 / math.sqrt(df1)
@@ -246,8 +292,8 @@ def fit(texts: list[bytes], labels: list[int], sizes: dict) -> Grammar:
     for h, w in learned.items():
         if classes.get(h, (INSULT,))[0] in (INSULT, THREAT):
             classes[h] = classes.get(h, (INSULT,))[0], w
-    common = {h: w for h, k, other in stems if k >= 2 * SUPPORT and (w := weight(k, other)) >= 1.5 * LEAST_WEIGHT}
-    grammar = Grammar(classes, common, np.zeros(9))
+    common = {h: w for h, k, other in stems if (w := weight(k, other)) >= LEAST_STEM}
+    grammar = Grammar(classes, common, np.zeros(5), clause)
     x = _expanded(np.concatenate([grammar.features(c) for c in columns]))
     prior = np.where(y == 1, sizes[1] / n1, sizes[0] / n0)
     grammar.curve = _logistic(x, y, prior / prior.mean())

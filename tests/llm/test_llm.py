@@ -533,12 +533,53 @@ def test_toxicity_and_quality(spark, odd, empty, labels):
         assert operator.score(empty, labels).count() == 0
 
 
+def brute_weights(tokens):
+    """Each match by its definition, from the clause as a whole."""
+    out, kinds = [], [c for c, _ in tokens]
+    for k, (c, weight) in enumerate(tokens):
+        near = kinds[max(0, k - toxicity.FADES) : k]
+        if c == toxicity.INSULT:
+            w = toxicity.PHRASED if k and kinds[k - 1] == toxicity.INSULT else 1.0
+        elif c == toxicity.THREAT:
+            w = 1.0 if toxicity.INTENT in near else toxicity.BARE
+        else:
+            w = 0.0
+        w *= toxicity.NEGATED if toxicity.NEGATION in near else 1.0
+        w *= toxicity.REPORTED if toxicity.REPORT in kinds[:k] else 1.0
+        w *= toxicity.TARGETED if toxicity.TARGET in kinds[:k] + kinds[k + 1 :] else 1.0
+        out.append(w * weight)
+    return out
+
+
 def test_grammar():
-    you, idiot, no, said = (toxicity.TARGET, 0.0), (toxicity.INSULT, 2.0), (toxicity.NEGATION, 0.0), (toxicity.REPORT, 0.0)
+    rng = random.Random(6)
+    for _ in range(3000):
+        tokens_ = [(rng.choice(toxicity.CLASSES), rng.random()) for _ in range(rng.randint(0, 9))]
+        assert np.allclose(toxicity.path_weights(tokens_), brute_weights(tokens_))
+    you, idiot, no, said, kill, will = ((c, 2.0) for c in (toxicity.TARGET, toxicity.INSULT, toxicity.NEGATION, toxicity.REPORT, toxicity.THREAT, toxicity.INTENT))
     plain = toxicity.clause_score([idiot])
-    assert toxicity.clause_score([you, idiot]) > plain and toxicity.clause_score([idiot, you]) > plain
-    assert toxicity.clause_score([no, idiot]) < plain and toxicity.clause_score([said, idiot]) < plain
-    assert toxicity.clause_score([no, *[(toxicity.WORD, 0.0)] * 4, idiot]) == plain
+    assert toxicity.clause_score([you, idiot]) == toxicity.clause_score([idiot, you]) > plain > toxicity.clause_score([said, idiot]) > toxicity.clause_score([no, idiot])
+    assert toxicity.clause_score([will, kill]) > toxicity.clause_score([kill]) and toxicity.clause_score([idiot, idiot]) > 2 * plain
+
+
+def test_multipliers_decide():
+    """Where negated and reported insults are harmless, the composed transducer tells them apart and the bare sum of matches doesn't."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdeflmno") for _ in range(rng.randint(3, 8)))
+    texts, y = [], []
+    for i in range(600):
+        insults = rng.sample(["idiot", "moron", "stupid", "loser", "pathetic"], 2)
+        around = [" ".join(word() for _ in range(6)) for _ in range(2)]
+        toxic = i % 2
+        clause = ("" if toxic else rng.choice(["not ", "said "])) + f"you {insults[0]} {insults[1]}"
+        texts.append(f"{around[0]}. {clause}. {around[1]}".encode())
+        y.append(toxic)
+
+    def held_out_auc(clause):
+        g = toxicity.fit(texts[:400], y[:400], {0: 200, 1: 200}, clause)
+        return auc(list(zip(y[400:], g.scores(texts_of(pa.array(texts[400:], pa.binary()).cast(pa.string()))).tolist())))
+
+    assert held_out_auc(toxicity.CLAUSE) > 0.99 > 0.8 > held_out_auc(toxicity.union(toxicity.INSULTS, toxicity.THREATS))
 
 
 def test_marginals():
