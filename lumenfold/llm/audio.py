@@ -2,7 +2,7 @@
 
 A payload is stored as a mono WAV file with 8-bit samples and read back from those bytes. The samples go through a polyphase FIR resampler, overlapped
 windows, a mel filterbank and a logarithm; frames whose energy rises above a high threshold open a segment that lasts until it falls below a
-low one. Pooled log-mel frames have a fixed shape, with each slot's time span, so that a column of them is a fixed-shape Arrow tensor.
+low one. Every stretch of a fixed number of log-mel frames is stored as an Arrow tensor of one shape, with its time span, so texts of any length give tensors of one shape and lose no frame.
 Each text is computed on its own, so equal texts have equal values wherever they stand.
 """
 
@@ -23,19 +23,22 @@ from pyspark.sql import functions as F
 from .textbuf import narrow, record, steps
 
 BLOCK, RATE = 64, 8000
+#: Added to a band's power, and the logarithm that silence then has.
+FLOOR = 1e-6
+SILENCE = np.log(np.float32(FLOOR))
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Resampling by up / down; window and hop in resampled samples; mel bands; slots of the tensor; segment thresholds in deviations from the mean."""
+    """Resampling by up / down; window and hop in resampled samples; mel bands; frames of a tensor; segment thresholds in deviations from the mean."""
 
-    up: int = 1
-    down: int = 2
+    up: int = 2
+    down: int = 3
     taps: int = 16
     window: int = 256
     hop: int = 128
     bands: int = 16
-    slots: int = 8
+    frames: int = 16
     high: float = 0.25
     low: float = -0.25
 
@@ -78,10 +81,11 @@ def resample(x: np.ndarray, s: Settings) -> np.ndarray:
     phases = _filter(s.up, s.down, s.taps)
     padded = np.concatenate([np.zeros(s.taps - 1, np.float32), x])
     seen = np.lib.stride_tricks.sliding_window_view(padded, s.taps)
-    if s.up == 1:
-        return seen[:: s.down] @ phases[0]
-    m = np.arange(len(x) * s.up // s.down) * s.down
-    return np.einsum("ij,ij->i", seen[m // s.up], phases[m % s.up])
+    out = np.empty(-(-len(x) * s.up // s.down), np.float32)
+    for r in range(s.up):  # every up-th sample comes from one phase
+        own = out[r :: s.up]
+        own[:] = seen[r * s.down // s.up :: s.down][: len(own)] @ phases[r * s.down % s.up]
+    return out
 
 
 @lru_cache
@@ -110,7 +114,7 @@ def log_mel(samples: bytes, rate: int, s: Settings) -> tuple[np.ndarray, float]:
     frames = np.lib.stride_tricks.sliding_window_view(y, s.window)[:: s.hop]
     spectrum = np.fft.rfft(frames * _hann(s.window), axis=1)
     power = spectrum.real**2 + spectrum.imag**2
-    return np.log(power @ _mel(new_rate, s.window, s.bands) + 1e-6), s.hop / new_rate
+    return np.log(power @ _mel(new_rate, s.window, s.bands) + FLOOR), s.hop / new_rate
 
 
 def segments(frames: np.ndarray, seconds: float, s: Settings) -> list[tuple[float, float]]:
@@ -124,37 +128,52 @@ def segments(frames: np.ndarray, seconds: float, s: Settings) -> list[tuple[floa
     return [(a * seconds, b * seconds) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist())]
 
 
-def pooled(frames: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
-    """Means of `slots` equal stretches of frames, and each stretch's first frame and the frame after its last."""
-    n = len(frames)
-    first = np.arange(slots) * n // slots
-    last = np.maximum((np.arange(slots) + 1) * n // slots, first + 1)
-    total = np.concatenate([np.zeros((1, frames.shape[1])), np.cumsum(frames, axis=0, dtype=np.float64)])
-    return ((total[last] - total[first]) / (last - first)[:, None]).astype(np.float32), np.stack([first, last], axis=1)
+def stretches(frames: np.ndarray, seconds: float, s: Settings) -> list[dict]:
+    """Tensors of s.frames frames each, with start and end in seconds and how many frames are real; the last is filled up with the logarithm of silence."""
+    out = []
+    for a in range(0, len(frames), s.frames):
+        part = frames[a : a + s.frames]
+        n = len(part)
+        if n < s.frames:
+            part = np.concatenate([part, np.full((s.frames - n, frames.shape[1]), SILENCE, np.float32)])
+        out.append({"start": a * seconds, "end": (a + n) * seconds, "frames": n, "tensor": packed(part)})
+    return out
 
 
-AUDIO = "doc_id long, n_bytes long, media binary, payload_bytes long, payload_sha256 string, tail_crc32 long, log_mel array<float>, slot_times array<float>, segments array<struct<start:double,end:double>>, feature string"
+def packed(values: np.ndarray) -> bytes:
+    """An Arrow tensor message: type, shape and values."""
+    sink = pa.BufferOutputStream()
+    pa.ipc.write_tensor(pa.Tensor.from_numpy(np.ascontiguousarray(values, np.float32)), sink)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(message: bytes) -> np.ndarray:
+    return pa.ipc.read_tensor(pa.BufferReader(message)).to_numpy()
+
+
+TENSOR = "struct<start:double,end:double,frames:int,tensor:binary>"
+AUDIO = f"doc_id long, n_bytes long, media binary, payload_bytes long, payload_sha256 string, tail_crc32 long, tensors array<{TENSOR}>, segments array<struct<start:double,end:double>>, feature string"
 
 
 def audio(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """One row per document: its audio file, what reads back from it, and its features.
 
-    A text's UTF-8 bytes, with bytes 0 up to a positive multiple of 64, are the samples; null and empty texts have 64 of them. log_mel holds slots * bands values by row, slot_times each slot's
-    start and end in seconds, segments the energy segments, feature the mean of each band and the number and length of segments. Repeated rows give repeated rows, null doc_ids
-    stay null, other columns are ignored, an empty table gives an empty result.
+    A text's UTF-8 bytes, with bytes 0 up to a positive multiple of 64, are the samples; null and empty texts have 64 of them. tensors holds the log-mel frames as Arrow tensors of shape (frames, bands) with their time spans,
+    segments the energy segments, feature the mean of each band and the number and length of segments. Texts are read whole, however long. Repeated rows give repeated rows, null doc_ids
+    stay null, other columns, whatever their names, are ignored, an empty table gives an empty result.
     """
-    span = pa.struct([("start", pa.float64()), ("end", pa.float64())])
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.float32()), pa.list_(pa.float32()), pa.list_(span), pa.string()]
-    schema = pa.schema(list(zip([x.split()[0] for x in AUDIO.split(", ")], kinds)))
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    schema = to_arrow_schema(StructType.fromDDL(AUDIO))
 
     def row(raw: bytes) -> tuple:
         media = encode_wav(raw + bytes(max(BLOCK, -(-len(raw) // BLOCK) * BLOCK) - len(raw)))
         samples, rate = decode_wav(media)
         frames, seconds = log_mel(samples, rate, settings)
-        pool, spans = pooled(frames, settings.slots)
         parts = segments(frames, seconds, settings)
         text = " ".join(f"{x:.3f}" for x in frames.mean(axis=0, dtype=np.float64).tolist()) + f" | {len(parts)} {sum(b - a for a, b in parts):.3f}"
-        return len(raw), media, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-BLOCK:]), pool.ravel(), (spans * seconds).astype(np.float32).ravel(), [{"start": a, "end": b} for a, b in parts], text
+        return len(raw), media, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-BLOCK:]), stretches(frames, seconds, settings), [{"start": a, "end": b} for a, b in parts], text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in steps(batches):
@@ -165,18 +184,14 @@ def audio(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
 
 def as_tensors(table: pa.Table, settings: Settings = Settings()) -> pa.Table:
-    """An Arrow table of audio() rows whose log_mel is a tensor column of shape (slots, bands) and slot_times one of shape (slots, 2)."""
-
-    def tensor(name: str, shape: tuple[int, int]) -> pa.Array:
-        flat = table[name].combine_chunks()
-        values = flat.flatten() if isinstance(flat, pa.Array) else flat
-        kind = pa.fixed_shape_tensor(pa.float32(), shape)
-        return pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(values.cast(pa.float32()), shape[0] * shape[1]))
-
-    for name, shape in (("log_mel", (settings.slots, settings.bands)), ("slot_times", (settings.slots, 2))):
-        table = table.set_column(table.schema.get_field_index(name), name, tensor(name, shape))
-    return table
+    """(doc_id, start, end, frames, log_mel) of an Arrow table of audio() rows: a row per tensor, in a column of Arrow's fixed-shape tensor type."""
+    rows = [(doc, t["start"], t["end"], t["frames"], unpacked(t["tensor"]).ravel()) for doc, tensors in zip(table["doc_id"].to_pylist(), table["tensors"].to_pylist()) for t in tensors]
+    kind = pa.fixed_shape_tensor(pa.float32(), (settings.frames, settings.bands))
+    values = np.concatenate([r[4] for r in rows]) if rows else np.zeros(0, np.float32)
+    tensor = pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(pa.array(values, pa.float32()), settings.frames * settings.bands))
+    types = (pa.int64(), pa.float64(), pa.float64(), pa.int32())
+    return pa.table({**{n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate(zip(("doc_id", "start", "end", "frames"), types))}, "log_mel": tensor})
 
 
 def digest(rows: DataFrame) -> DataFrame:
-    return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature")
+    return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature", "tensors", "segments")

@@ -86,7 +86,7 @@ def fit(texts: list[bytes], labels: list[str]) -> Model | None:
 def identify(docs: DataFrame, per_language: int = PER_LANGUAGE, carry: list[str] = (), prefix: str = "") -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score.
 
-    Fitted on at most per_language rows a language of `docs` that aren't held out and have a text and a lang; without any, all are `und`. Null texts and texts without
+    Texts are read whole, however long. Fitted on at most per_language rows a language, of the 256 most frequent ones, of `docs` that aren't held out and have a text and a lang; without any, all are `und`. Null texts and texts without
     a letter are `und` with score 0. Otherwise lang_pred is a learned value and score its share of the softmax; equal scores go to the first language in
     order. Null doc_ids aren't held out and stay null; repeated rows give repeated rows; an empty table gives an empty result. Columns named in carry follow; others are ignored.
     prefix goes before held_out, lang_pred and score, for tables with such columns of their own.

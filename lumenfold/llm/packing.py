@@ -118,7 +118,7 @@ def pack(docs: DataFrame, path: str | None = None, size: int = SIZE, window: int
 
     A document's ids are the library's, then end_id, so null and empty texts have one id. Every id lies in one piece. All sequences
     are full but at most log2(size) a partition, whose lengths are powers of two. Repeated rows are packed as often as they
-    occur; a null doc_id stays null; an empty table has no pieces; other columns are ignored.
+    occur; a null doc_id stays null; an empty table has no pieces; texts are read whole, however long; other columns, whatever their names, are ignored.
     """
     path = path or vocabulary_path()
     schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])

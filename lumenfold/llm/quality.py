@@ -176,10 +176,10 @@ def fit(texts: list[bytes], labels: list[int], sizes: dict) -> Field | None:
 def score(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted.
 
-    Fitted on at most per_label rows of each value of labels.quality that aren't held out; without both values all scores are 0.5. Null and empty texts are one empty line.
-    predicted is 1 if score >= 0.3. Null doc_ids aren't held out and stay null; repeated rows give repeated rows; an empty table gives an empty result; other columns are ignored.
+    Fitted on at most per_label rows of each value of labels.quality that aren't held out; without both values all scores are 0.5. Other labels than 0 and 1 are not learned. Texts are read whole, however long. Null and empty texts are one empty line.
+    predicted is 1 if score >= 0.3. Null doc_ids aren't held out and stay null; repeated rows give repeated rows; an empty table gives an empty result; other columns, whatever their names, are ignored.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(fit(*sample(docs, labels, "quality", per_label)))
+    sent = docs.sparkSession.sparkContext.broadcast(fit(*sample(docs, labels, "quality", per_label, [0, 1])))
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

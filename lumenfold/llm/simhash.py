@@ -251,7 +251,7 @@ def simhash_groups(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS, bu
 
     component_id is the smallest doc_id reachable by links. Null and empty texts have fingerprint 0 and link like any other; texts
     below `width` words are one shingle; repeated rows give repeated rows. Null doc_ids count as no id: their rows get their
-    component's smallest id, or null if it has none. Other columns are ignored; an empty table gives an empty result.
+    component's smallest id, or null if it has none. Texts are read whole, however long. Other columns, whatever their names, are ignored; an empty table gives an empty result.
     """
     fps = stored(fingerprints(docs, width))
     nodes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")).filter(F.col("node").isNotNull()))

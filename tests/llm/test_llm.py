@@ -1,6 +1,7 @@
 """The text operators against brute force, exact round trips, edge cases and held-out accuracy."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -418,7 +419,9 @@ def test_audio(odd, empty):
         assert audio.decode_wav(r["media"])[0] == payload and r["payload_sha256"] == hashlib.sha256(payload).hexdigest()
         assert r["tail_crc32"] == zlib.crc32(payload[-64:]) and r["n_bytes"] == len(raw)
     tensors = audio.as_tensors(table)
-    assert tensors["log_mel"].type.shape == [8, 16] and tensors["slot_times"].type.shape == [8, 2]
+    assert tensors["log_mel"].type.shape == [16, 16] and tensors.num_rows == sum(len(t) for t in table["tensors"].to_pylist())
+    kept = table.to_pylist()[2]["tensors"]
+    assert all(t["end"] == n["start"] for t, n in zip(kept, kept[1:])) and all(t["frames"] == 16 for t in kept[:-1])
     features = {r["payload_sha256"]: r["feature"] for r in table.to_pylist()}
     assert all(features[r["payload_sha256"]] == r["feature"] for r in table.to_pylist())
     assert audio.digest(audio.audio(empty)).count() == 0
@@ -432,6 +435,81 @@ def test_audio(odd, empty):
     assert len(y) == 6000 and np.abs(np.fft.rfft(y)).argmax() == 200
 
 
+def test_audio_against_definitions():
+    """Resampling by filling in zeros, filtering and dropping; mel bands by sums over a direct transform; segments by a walk over frames."""
+    rng = np.random.default_rng(3)
+    for up, down in ((2, 3), (1, 2), (3, 4), (5, 2)):
+        s = audio.Settings(up=up, down=down)
+        x = rng.normal(size=501).astype(np.float32)
+        n = s.taps * up
+        t = (np.arange(n) - (n - 1) / 2) / max(up, down)
+        h = np.sinc(t) * np.hanning(n + 2)[1:-1]
+        filled = np.zeros(len(x) * up)
+        filled[::up] = x
+        want = np.convolve(filled, h * up / h.sum())[: len(filled)][::down]
+        assert np.allclose(audio.resample(x, s), want, atol=1e-4)
+    s, raw = audio.Settings(), rng.integers(0, 256, 3000, dtype=np.uint8).tobytes()
+    y = audio.resample((np.frombuffer(raw, np.uint8).astype(np.float32) - 128) / 128, s)
+    y = np.concatenate([y, np.zeros(s.window)])
+    frames, seconds = audio.log_mel(raw, 8000, s)
+    rate = 8000 * s.up / s.down
+    mel = lambda f: 2595 * math.log10(1 + f / 700)
+    for k in range(len(frames)):
+        part = y[k * s.hop : k * s.hop + s.window] * np.hanning(s.window)
+        for band in (0, 7, 15):
+            low, mid, high = (700 * (10 ** (mel(rate / 2) * (band + d) / (s.bands + 1) / 2595) - 1) for d in range(3))
+            power = 0.0
+            for b in range(s.window // 2 + 1):
+                hz = b * rate / s.window
+                if low < hz < high:
+                    angle = 2 * math.pi * b * np.arange(s.window) / s.window
+                    spectrum = (part * np.cos(angle)).sum() ** 2 + (part * np.sin(angle)).sum() ** 2
+                    power += spectrum * min((hz - low) / (mid - low), (high - hz) / (high - mid))
+            assert abs(frames[k, band] - math.log(power + 1e-6)) < 2e-2
+    for _ in range(50):
+        f = rng.normal(size=(40, 4)).astype(np.float32).cumsum(axis=0)
+        e = f.mean(axis=1)
+        on, want = False, []
+        for k, v in enumerate(e):
+            if not on and v >= e.mean() + s.high * e.std():
+                on = True
+                want.append([k, len(e)])
+            elif on and v < e.mean() + s.low * e.std():
+                on = False
+                want[-1][1] = k
+        assert audio.segments(f, 1.0, s) == [tuple(map(float, x)) for x in want]
+
+
+def test_string_kernel():
+    """The kernel of two texts is the share of n-grams of 1 to 3 bytes that both have; n-grams of one hash count as one."""
+    strings = ["the cat sat", "The hat", "", "ñandú é", "aaaa", "x"]
+    got = langid.presence(texts_of(pa.array(strings)))
+    bits = langid.DIMENSIONS.bit_length() - 1
+
+    def columns(text):
+        raw = bytes(b | 32 if 65 <= b <= 90 else b for b in text.encode())
+        grams = {raw[i : i + n] for n in (1, 2, 3) for i in range(len(raw) - n + 1)}
+        return {(int.from_bytes(g, "little") * (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35)[len(g) - 1]) % 2**32 >> 32 - bits for g in grams} - {0}
+
+    for i, text in enumerate(strings):
+        assert set(np.flatnonzero(got[i]).tolist()) == columns(text)
+
+
+def test_samples(spark):
+    from lumenfold.llm.training import sample
+
+    docs = spark.createDataFrame([(i, f"text {i} " * (1 + i % 3), f"l{i % 40}") for i in range(400)] + [(1, "another text", "l1"), (None, "x", "l1"), (7, None, "l2")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 5 - 1) for i in range(400)] + [(3, None)], "doc_id long, toxic int")
+    texts, y, sizes = sample(docs, labels, "toxic", 20, [0, 1])
+    assert set(y) == {0, 1} == set(sizes) and max(y.count(0), y.count(1)) <= 20
+    assert len(sample(docs, docs, "lang", 5, classes=7)[2]) == 7
+    few = sample(docs, labels, "toxic", 20, [0, 1], most_bytes=100)
+    assert few[0] == texts[: len(few[0])] and sum(map(len, few[0])) <= 100 < sum(map(len, texts))
+    assert sample(docs, labels, "toxic", 20, [8])[2] == {} and sample(docs.limit(0), docs.limit(0), "lang", 5) == ([], [], {})
+    for operator, column in ((toxicity, "toxic"), (quality, "quality")):
+        assert all(0 <= r.score <= 1 for r in operator.score(docs, labels.withColumnRenamed("toxic", column)).collect())
+
+
 def test_banded_edits():
     rng = random.Random(7)
     for _ in range(150):
