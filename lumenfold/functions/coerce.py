@@ -140,3 +140,34 @@ def dump_value(text: Column, limit: int) -> Column:
 
 def dump_line(tag_hex: Column, vr: Column, length: Column, vm: Column, value: Column, keyword: Column, limit: int = 40) -> Column:
     return F.concat_ws("\t", tag_hex, vr, length.cast("string"), vm.cast("string"), shown_text(value, limit), keyword)
+
+
+#: Longest value in characters by VR, and the shape that a value must have (fixed values of the public standard).
+LONGEST = {"AE": 16, "AS": 4, "CS": 16, "DA": 8, "DS": 16, "DT": 26, "IS": 12, "LO": 64, "LT": 10240, "PN": 64, "SH": 16, "ST": 1024, "TM": 14, "UI": 64}
+SHAPES = {
+    "AS": r"[0-9]{3}[DWMY]", "CS": r"[A-Z0-9 _]*", "DA": r"[0-9]{8}", "DS": r" *[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)? *", "DT": r"[0-9]{4,14}(\.[0-9]{1,6})?([+-][0-9]{4})?",
+    "IS": r" *[+-]?[0-9]+ *", "TM": r"[0-9]{2}([0-9]{2}([0-9]{2}(\.[0-9]{1,6})?)?)?", "UI": r"[0-9.]*",
+}
+#: Text that is one value, backslashes included.
+WHOLE_VRS = frozenset("LT ST UT UR".split())
+
+
+def fits(text: Column, vr: str) -> Column:
+    """Whether a single text value has its VR's shape, length and range; true for an empty one, null for a null."""
+    right = F.lit(True)
+    if vr == "PN":
+        right = ~F.exists(F.split(text, "=", -1), lambda g: F.length(g) > LONGEST["PN"])
+    elif vr in LONGEST:
+        right = F.length(text) <= LONGEST[vr]
+    if vr in SHAPES:
+        right = right & (text.rlike(f"^({SHAPES[vr]})$") | (text == ""))
+    if vr not in WHOLE_VRS:
+        right = right & ~text.contains("\\")
+    if vr == "IS":
+        right = right & F.coalesce(F.btrim(text).try_cast("bigint").between(-(2**31), 2**31 - 1), text == "")
+    return F.when(text.isNotNull(), right)
+
+
+def text_or_raw(text: Column, raw: Column) -> Column:
+    """(text, raw): the decoded value, or the bytes where they could not be decoded."""
+    return F.struct(text.alias("text"), F.when(text.isNull(), raw).alias("raw"))

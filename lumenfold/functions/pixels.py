@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,8 +27,27 @@ def lut_entries(count: Column) -> Column:
     return F.when(count == 0, 65536).otherwise(count)
 
 
-def palette(value: Column, red: Column, green: Column, blue: Column, first: Column) -> Column:
-    return F.struct(lut(value, red, first).alias("r"), lut(value, green, first).alias("g"), lut(value, blue, first).alias("b"))
+def palette(value: Column, red: Column, green: Column, blue: Column, first: Column, alpha: Column | None = None) -> Column:
+    """The colour of an index, with alpha where there is a table for it."""
+    tables = {"r": red, "g": green, "b": blue} | ({} if alpha is None else {"a": alpha})
+    return F.struct(*(lut(value, table, first).alias(n) for n, table in tables.items()))
+
+
+def voi_lut(value: Column, table: Column, first: Column, bits: Column) -> Column:
+    """(v, kind): the table's entry, masked to its bits, and the kind of sample that holds it."""
+    entry = lut(value, table, first).cast("long").bitwiseAND((F.pow(F.lit(2), bits) - 1).cast("long"))
+    return F.struct(entry.cast("int").alias("v"), F.when(bits <= 8, "uint8").otherwise("uint16").alias("kind"))
+
+
+def table_entries(raw: bytes, entries: int, bits: int) -> list[int]:
+    """A discrete table's entries, masked to their bits, from single bytes or little-endian pairs of them; ValueError for too few bytes."""
+    if len(raw) >= 2 * entries:
+        values = np.frombuffer(raw[: 2 * entries], "<u2")
+    elif len(raw) >= entries and bits <= 8:
+        values = np.frombuffer(raw[:entries], np.uint8)
+    else:
+        raise ValueError(f"{len(raw)} bytes for {entries} entries")
+    return (values.astype(np.int64) & (1 << bits) - 1).tolist()
 
 
 def window(value: Column, center: Column, width: Column, function: str = "linear", top: int = 255) -> Column:

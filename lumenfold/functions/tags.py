@@ -91,6 +91,8 @@ BluePaletteColorLookupTableDescriptor 00281103 US
 RedPaletteColorLookupTableData 00281201 OW
 GreenPaletteColorLookupTableData 00281202 OW
 BluePaletteColorLookupTableData 00281203 OW
+AlphaPaletteColorLookupTableDescriptor 00281104 US
+AlphaPaletteColorLookupTableData 00281204 OW
 SegmentedRedPaletteColorLookupTableData 00281221 OW
 SegmentedGreenPaletteColorLookupTableData 00281222 OW
 SegmentedBluePaletteColorLookupTableData 00281223 OW
@@ -175,6 +177,62 @@ def tag_number(tag_hex: Column) -> Column:
     return F.conv(tag_hex, 16, 10).cast("long")
 
 
+#: Storage classes by name (fixed values of the public standard).
+STORAGE = """
+ComputedRadiographyImageStorage 1.2.840.10008.5.1.4.1.1.1
+DigitalXRayImageStorageForPresentation 1.2.840.10008.5.1.4.1.1.1.1
+CTImageStorage 1.2.840.10008.5.1.4.1.1.2
+EnhancedCTImageStorage 1.2.840.10008.5.1.4.1.1.2.1
+UltrasoundMultiFrameImageStorage 1.2.840.10008.5.1.4.1.1.3.1
+MRImageStorage 1.2.840.10008.5.1.4.1.1.4
+EnhancedMRImageStorage 1.2.840.10008.5.1.4.1.1.4.1
+UltrasoundImageStorage 1.2.840.10008.5.1.4.1.1.6.1
+SecondaryCaptureImageStorage 1.2.840.10008.5.1.4.1.1.7
+XRayAngiographicImageStorage 1.2.840.10008.5.1.4.1.1.12.1
+NuclearMedicineImageStorage 1.2.840.10008.5.1.4.1.1.20
+SegmentationStorage 1.2.840.10008.5.1.4.1.1.66.4
+LabelMapSegmentationStorage 1.2.840.10008.5.1.4.1.1.66.7
+EncapsulatedPDFStorage 1.2.840.10008.5.1.4.1.1.104.1
+PositronEmissionTomographyImageStorage 1.2.840.10008.5.1.4.1.1.128
+EnhancedPETImageStorage 1.2.840.10008.5.1.4.1.1.130
+RTImageStorage 1.2.840.10008.5.1.4.1.1.481.1
+RTDoseStorage 1.2.840.10008.5.1.4.1.1.481.2
+RTStructureSetStorage 1.2.840.10008.5.1.4.1.1.481.3
+RTPlanStorage 1.2.840.10008.5.1.4.1.1.481.5
+VerificationSOPClass 1.2.840.10008.1.1
+MediaStorageDirectoryStorage 1.2.840.10008.1.3.10
+"""
+UIDS = {uid: name for name, uid in (line.split() for line in STORAGE.split("\n") if line)}
+
+
+def uid_names(spark: SparkSession) -> DataFrame:
+    """(uid, name, kind): storage classes and transfer syntaxes, a fixed small table, safe to broadcast."""
+    from ..operators.transcode import SYNTAXES
+
+    syntaxes = [(u, n, "transfer syntax") for u, n, *_ in (line.split() for line in SYNTAXES.split("\n") if line)]
+    return spark.createDataFrame([*((u, n, "storage class") for u, n in UIDS.items()), *syntaxes], "uid string, name string, kind string")
+
+
+def with_uid_names(rows: DataFrame, uid: str) -> DataFrame:
+    """rows with the name and kind of a UID column; null for an unknown one."""
+    known = uid_names(rows.sparkSession).select(F.col("uid").alias("_uid"), F.col("name").alias("uid_name"), F.col("kind").alias("uid_kind"))
+    return rows.join(F.broadcast(known), F.col(uid) == F.col("_uid"), "left").drop("_uid")
+
+
+def uid_of(name: str) -> str | None:
+    """A UID by its name."""
+    return next((u for u, n in UIDS.items() if n == name), None)
+
+
+def is_segmentation(sop_class: Column) -> Column:
+    """Segmentations of either class."""
+    return sop_class.isin(uid_of("SegmentationStorage"), uid_of("LabelMapSegmentationStorage"))
+
+
+def is_label_map(sop_class: Column) -> Column:
+    return sop_class == F.lit(uid_of("LabelMapSegmentationStorage"))
+
+
 def is_private(tag: Column) -> Column:
     return F.shiftright(tag, 16) % 2 == 1
 

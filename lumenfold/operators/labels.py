@@ -21,10 +21,11 @@ def label_sets(rows: DataFrame, keys: list[str], label: str) -> DataFrame:
 
 
 def set_codes(sets: DataFrame) -> DataFrame:
-    """(labels, code): dense codes from 1 in order of the sets; distinct sets are few (codes end at 65535)."""
+    """(labels, code): dense codes from 1 in order of the sets. Codes end at 65,535, so only as many sets in order, and one more, are numbered; others have no row."""
     from pyspark.sql import Window as W
 
-    return sets.select("labels").distinct().withColumn("code", F.row_number().over(W.orderBy("labels")))
+    first = sets.select("labels").distinct().orderBy("labels").limit(MAX_CODE + 1)
+    return first.withColumn("code", F.row_number().over(W.orderBy("labels")))
 
 
 def has_label(labels: Column, label) -> Column:
@@ -65,17 +66,18 @@ def set_bits(frames: DataFrame, samples: str, label: str, slice_index: str, colu
     return flat.select(label, (F.col("i") % F.col("_n")).alias("x"), F.floor(F.col("i") / F.col("_n")).cast("int").alias("y"), "z")
 
 
-def volume(voxels: DataFrame, keys: list[str], label: str, overlap: str = "maybe") -> DataFrame:
+def volume(voxels: DataFrame, keys: list[str], label: str, overlap: str = "maybe", paint: list[str] = ()) -> DataFrame:
     """A row per voxel: keys, labels (sorted distinct), code. Codes number the distinct sets from 1 in order; 0 is the background, which has no row.
 
-    overlap `no` makes a voxel of several labels keep the last painted, the largest label; `maybe` and `yes` keep all.
-    Distinct sets pass through one window, and a code beyond 65,535 or a set beyond 128 labels is `over_limit`: sets are bounded by that format, voxels are not.
+    overlap `no` makes a voxel of several labels keep the last painted: by the columns `paint` (say the source frame), or without them the largest label; `maybe` and `yes` keep all.
+    A code beyond 65,535 (null beyond 65,536) or a set beyond 128 labels is `over_limit`: sets are bounded by that format, voxels are not.
     """
-    sets = label_sets(voxels, keys, label)
     if overlap == "no":
-        sets = sets.withColumn("labels", F.slice("labels", -1, 1))
-    out = sets.join(F.broadcast(set_codes(sets)), "labels")
-    return out.select(*keys, "labels", "code", ((F.size("labels") > MAX_SET) | (F.col("code") > MAX_CODE)).alias("over_limit"))
+        sets = voxels.groupBy(*keys).agg(F.array(F.max_by(label, F.struct(*paint, label))).alias("labels"))
+    else:
+        sets = label_sets(voxels, keys, label)
+    out = sets.join(F.broadcast(set_codes(sets)), "labels", "left")  # 65,536 sets at most
+    return out.select(*keys, "labels", "code", ((F.size("labels") > MAX_SET) | F.coalesce(F.col("code") > MAX_CODE, F.lit(True))).alias("over_limit"))
 
 
 def restored(painted: DataFrame, label) -> DataFrame:
@@ -89,7 +91,7 @@ def codes_of(sets: DataFrame, label) -> DataFrame:
 
 def colours(codes: DataFrame, table: DataFrame, label: str) -> DataFrame:
     """(code, r, g, b, a): a set takes the mean colour of its labels' rows (label, r, g, b, a), rounded down; labels without a colour don't count."""
-    each = codes.select("code", F.explode("labels").alias(label)).join(F.broadcast(table), label, "left")
+    each = codes.select("code", F.explode("labels").alias(label)).join(table, label, "left")
     return each.groupBy("code").agg(*(F.coalesce(F.floor(F.avg(c)).cast("int"), F.lit(0)).alias(c) for c in ("r", "g", "b", "a")))
 
 

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..functions.pixels import expand_segments, table_entries
 from . import p10
 from .batches import batched
 
@@ -252,3 +253,106 @@ def check_extended(offsets: list[int], lengths: list[int], size: int) -> str | N
         if o + 8 + n + n % 2 > end:
             return f"frame {k} goes past {end}"
     return None
+
+
+#: Palette descriptors and tables of the three colours and of alpha, plain and segmented (fixed values of the public standard).
+PALETTES = {"r": (0x00281101, 0x00281201, 0x00281221), "g": (0x00281102, 0x00281202, 0x00281222), "b": (0x00281103, 0x00281203, 0x00281223), "a": (0x00281104, 0x00281204, 0x00281224)}
+PALETTE = "instance_id string, first int, bits int, r array<int>, g array<int>, b array<int>, a array<int>, error string"
+
+
+def palette_of(content: bytes) -> tuple | None:
+    """(first, bits, red, green, blue, alpha) of a record's palette, expanded; null without one, alpha null where there is none. Broken for tables that don't suit their descriptors."""
+    parser = p10.Parser(content, wanted={t: {} for x in PALETTES.values() for t in x} | {0x00280103: {}})
+    root = {e.tag: e for e in parser.elements() if not e.depth}
+    if parser.error:
+        raise p10.Broken(parser.error)
+    if PALETTES["r"][0] not in root:
+        return None
+    signed = 0x00280103 in root and bool(p10.numbers(root[0x00280103].raw, "US")[0])
+    tables, heads = [], set()
+    for name, (head, plain, segmented) in PALETTES.items():
+        if head not in root:
+            if name != "a":
+                raise p10.Broken(f"no descriptor {head:08X}")
+            tables.append(None)
+            continue
+        count, first, bits = (int(v) for v in p10.numbers(root[head].raw, "US"))
+        count, first = count or 65536, first - 65536 if signed and first > 32767 else first
+        if bits not in range(1, 17):
+            raise p10.Broken(f"{bits} bits an entry")
+        if plain in root:
+            entries = table_entries(root[plain].raw or b"", count, bits)
+        elif segmented in root:
+            raw = root[segmented].raw or b""
+            entries = expand_segments(np.frombuffer(raw, "<u2" if bits > 8 else np.uint8).tolist(), bits)
+        else:
+            raise p10.Broken(f"no table for {head:08X}")
+        if len(entries) != count:
+            raise p10.Broken(f"{len(entries)} entries, the descriptor says {count}")
+        tables.append(entries)
+        heads.add((first, bits))
+    if len(heads) != 1:
+        raise p10.Broken("descriptors differ")
+    return *heads.pop(), *tables
+
+
+def palettes(records: DataFrame) -> DataFrame:
+    """A row per record of (instance_id, content) that has a palette, its segmented tables expanded; a broken one gives a row with its error."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    schema = to_arrow_schema(StructType.fromDDL(PALETTE))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batched(schema, (row for batch in batches for instance, content in zip(batch.column(0).to_pylist(), batch.column(1)) for row in rows(instance, content.as_py())))
+
+    def rows(instance: str, content: bytes | None) -> list[tuple]:
+        try:
+            found = palette_of(content or b"")
+            return [] if found is None else [(instance, *found, None)]
+        except (p10.Broken, ValueError, struct.error, TypeError) as e:
+            return [(instance, *[None] * 6, str(e))]
+
+    return records.select("instance_id", "content").mapInArrow(run, PALETTE)
+
+
+def set_pixel_data(content: bytes, frames: list[bytes], rows: int, columns: int, samples: int, sample_type: str, photometric: str) -> bytes:
+    """The record with other pixels: interleaved little-endian frames. Attributes that describe them follow; tables of frame offsets and float pixels go."""
+    parser = p10.Parser(content)
+    found = p10.nested(list(parser.elements()))
+    if parser.error:
+        raise p10.Broken(parser.error)
+    bits = int(sample_type[1:]) * 8
+    if sample_type[0] not in "ui" or bits not in (8, 16, 32, 64):
+        raise p10.Broken(f"{sample_type} is no kind of pixel sample")
+    if not frames or any(len(f) != rows * columns * samples * bits // 8 for f in frames):
+        raise p10.Broken("frames don't have the size that rows, columns and samples give")
+    if (samples == 3) != (photometric in ("RGB", "YBR_FULL")):
+        raise p10.Broken(f"{samples} samples a pixel don't suit {photometric}")
+    new = [(0x00280002, "US", [samples]), (0x00280004, "CS", photometric), (0x00280010, "US", [rows]), (0x00280011, "US", [columns]), (0x00280100, "US", [bits]), (0x00280101, "US", [bits]), (0x00280102, "US", [bits - 1])]
+    new.append((0x00280103, "US", [int(sample_type[0] == "i")]))
+    new += [(0x00280006, "US", [0])] * (samples > 1) + [(0x00280008, "IS", str(len(frames)))] * (len(frames) > 1)
+    gone = {t for t, *_ in new} | {0x00280006, 0x00280008, 0x7FE00001, 0x7FE00002, *PIXEL_TAGS}
+    kept = [e for e in found if e[0] not in gone and e[0] >> 16 != 2]
+    syntax = parser.syntax if parser.syntax in NATIVE else p10.EXPLICIT
+    return p10.write([*kept, *new, (p10.PIXELS, "OB" if bits == 8 else "OW", b"".join(frames))], syntax)
+
+
+def with_pixels(records: DataFrame, pixels: DataFrame) -> DataFrame:
+    """(instance_id, content, error): records with the pixels of (instance_id, frames array<binary>, n_rows, n_columns, samples, sample_type, photometric); records without such a row stay as they are."""
+    schema = pa.schema([("instance_id", pa.string()), ("content", pa.binary()), ("error", pa.string())])
+    names = ["frames", "n_rows", "n_columns", "samples", "sample_type", "photometric"]
+    joined = records.select("instance_id", "content").join(pixels.select("instance_id", *names), "instance_id", "left").select("instance_id", "content", *names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batched(schema, (made(*(c[k].as_py() for c in batch.columns)) for batch in batches for k in range(batch.num_rows)))
+
+    def made(instance: str, content: bytes | None, frames: list[bytes] | None, *how) -> tuple:
+        if frames is None:
+            return instance, content, None
+        try:
+            return instance, set_pixel_data(content or b"", frames, *how), None
+        except (p10.Broken, ValueError, struct.error, TypeError) as e:
+            return instance, None, str(e)
+
+    return joined.mapInArrow(run, "instance_id string, content binary, error string")

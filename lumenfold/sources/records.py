@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -103,3 +104,45 @@ def series(found: DataFrame) -> DataFrame:
     """(series_uid, n_instances, instances in order); files without a series have a null key."""
     uid = F.max(F.when((F.col("depth") == 0) & (F.col("tag_hex") == "0020000E"), F.col("text"))).alias("series_uid")
     return found.groupBy("instance_id").agg(uid).groupBy("series_uid").agg(F.count("*").alias("n_instances"), F.sort_array(F.collect_list("instance_id")).alias("instances"))
+
+
+def to_utf8(records: DataFrame) -> DataFrame:
+    """(instance_id, content, error): records with all text at every depth in UTF-8, and their charset elements saying so; text that its charset can't decode is an error."""
+    schema = pa.schema([("instance_id", pa.string()), ("content", pa.binary()), ("error", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batched(schema, (made(*row) for batch in batches for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())))
+
+    def made(instance: str, content: bytes | None) -> tuple:
+        try:
+            return instance, utf8_of(content or b""), None
+        except (p10.Broken, ValueError, struct.error) as e:
+            return instance, None, str(e)
+
+    return records.select("instance_id", "content").mapInArrow(run, "instance_id string, content binary, error string")
+
+
+def utf8_of(content: bytes) -> bytes:
+    parser = p10.Parser(content)
+    found = list(parser.elements())
+    if parser.error or not found:
+        raise p10.Broken(parser.error or "no elements")
+    for e in found:
+        if e.vr in CHARSET_VRS and e.raw:
+            text = charset.decode(e.raw, e.charset, delimiters=b"\\^=" if e.vr == "PN" else b"\\")
+            if text is None:
+                raise p10.Broken(f"{e.path} is not in {e.charset or 'the default charset'}")
+            e.raw = text.encode()
+    kept = [e for e in found if e.tag != 0x00080005 and e.tag >> 16 != 2]
+    return p10.write([*p10.nested(kept), (0x00080005, "CS", "ISO_IR 192")], parser.syntax)
+
+
+def walk(records: DataFrame) -> DataFrame:
+    """One row by folder of instance_id: n_files, n_records, n_broken, n_elements, bytes. What a read of a whole tree finds."""
+    sizes = records.select("instance_id", F.length("content").cast("long").alias("size"))
+    found = instances(elements(records)).select("instance_id", "error", "n_elements")
+    folder = F.when(F.col("instance_id").contains("/"), F.regexp_replace("instance_id", "/[^/]*$", "")).otherwise("").alias("folder")
+    return sizes.join(found, "instance_id", "left").groupBy(folder).agg(
+        F.count("*").alias("n_files"), F.sum((F.col("error").isNull() & (F.col("n_elements") > 0)).cast("long")).alias("n_records"), F.sum(F.col("error").isNotNull().cast("long")).alias("n_broken"),
+        F.coalesce(F.sum("n_elements"), F.lit(0)).alias("n_elements"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"),
+    )

@@ -63,3 +63,63 @@ def test_two_sets(spark):
     data = p10.write([(0x00080005, "CS", "\\ISO 2022 IR 87"), (0x00100010, "PN", b"Yamada=\x1b$B;3ED\x1b(B"), (0x00081030, "LO", b"a\\b")])
     w = wide(records.elements(spark.createDataFrame([("a", data)], "instance_id string, content binary")), ["PatientName", "StudyDescription"]).first()
     assert (w.PatientName, w.StudyDescription) == ("Yamada=山田", "a\\b")
+
+
+def test_values_that_do_not_fit(spark):
+    """A text beyond a 16-bit length and numbers out of range are errors beside good rows."""
+    from lumenfold.sources import sink
+
+    rows = spark.createDataFrame([(1, "x" * 70_000, 5), (2, "short", 70_000), (3, "fine", 65_535), (4, None, None)], "id long, text string, n int")
+    made = {r.instance_id: r for r in sink.build(rows, "id", {"PatientComments": "text", "Rows": "n"}).collect()}
+    assert made["1"].content is None and "LT" in made["1"].error and made["2"].content is None and "US" in made["2"].error
+    assert made["3"].error is None and made["4"].error is None
+    assert sink.valid("DA", "20200101") is None and sink.valid("DA", "2020") and sink.valid("IS", "99999999999") and sink.valid("CS", "lower") and sink.valid("US", 1.5) and sink.valid("SS", [1, 40_000])
+    assert sink.valid("PN", "a" * 64 + "=" + "b" * 64) is None and sink.valid("LO", "a\\b")
+
+
+def test_files(spark, tmp_path):
+    from lumenfold.sources import records, sink
+
+    rows = spark.createDataFrame([(i, f"name{i}") for i in range(20)], "id long, name string")
+    made = sink.build(rows, "id", {"PatientName": "name"})
+    for _ in range(2):  # a second run leaves the same files
+        done = sink.write_files(made.unionByName(spark.createDataFrame([("x", None, None)], "instance_id string, content binary, error string")), f"file://{tmp_path}").collect()
+    assert sorted(r.instance_id for r in done if r.error) == ["x"]
+    found = records.elements(records.files(spark, str(tmp_path))).filter("tag_hex = '00100010'").collect()
+    assert sorted(r.text for r in found) == sorted(f"name{i}" for i in range(20)) and len(list(tmp_path.glob("*"))) == 20
+
+
+def test_broken_records_can_end_the_job(spark):
+    from lumenfold.sources import records, sink
+
+    made = sink.build(spark.createDataFrame([(1, "a" * 20)], "id long, name string"), "id", {"PatientName": "name"})
+    cut = made.selectExpr("instance_id", "substring(content, 1, length(content) - 5) AS content")
+    assert records.elements(cut).filter("error IS NOT NULL").count() == 1
+    with pytest.raises(Exception, match="bytes"):
+        records.elements(cut, keep_on_error=False).count()
+
+
+def test_palette_tables():
+    from lumenfold.functions.pixels import table_entries
+    from lumenfold.sources import frames, p10
+
+    assert table_entries(b"\1\2\3", 3, 8) == [1, 2, 3] and table_entries(b"\1\0\2\1", 2, 8) == [1, 2] and table_entries(b"\1\0\2\1", 2, 16) == [1, 258]
+    with pytest.raises(ValueError):
+        table_entries(b"\1", 2, 8)
+    head = lambda c, n=2: (0x00281101 + c, "US", [n, 0, 8])
+    good = p10.write([*(head(c) for c in range(3)), *((0x00281201 + c, "OW", bytes([c, c + 1])) for c in range(3))])
+    assert frames.palette_of(good) == (0, 8, [0, 1], [1, 2], [2, 3], None)
+    with pytest.raises(ValueError):
+        frames.palette_of(p10.write([head(0), head(1), head(2, 3), *((0x00281201 + c, "OW", bytes([c, c + 1])) for c in range(3))]))
+    assert frames.palette_of(p10.write([(0x00280010, "US", [1])])) is None
+
+
+def test_pixels_that_do_not_suit():
+    from lumenfold.sources import frames, p10
+
+    record = p10.write([(0x00280010, "US", [1])])
+    for args in (([b"abc"], 1, 2, 1, "u1", "MONOCHROME2"), ([b"abc"], 1, 1, 3, "u1", "MONOCHROME2"), ([], 1, 1, 1, "u1", "MONOCHROME2"), ([b"abcd"], 1, 1, 1, "f4", "MONOCHROME2")):
+        with pytest.raises(p10.Broken):
+            frames.set_pixel_data(record, *args)
+    (_, layout, samples), = frames.frames_of(frames.set_pixel_data(record, [b"abcdef"], 1, 2, 3, "u1", "RGB"))
+    assert samples == b"abcdef" and layout.samples == 3 and layout.photometric == "RGB"
