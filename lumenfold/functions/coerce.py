@@ -14,10 +14,19 @@ def padded_trim(text: Column, lead: bool = True) -> Column:
     return F.btrim(text, F.lit(PAD)) if lead else F.rtrim(text, F.lit(PAD))
 
 
-def _numbers(text: Column, kind: str) -> Column:
+def bound(value: Column, use) -> Column:
+    """use(value) with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _tokens(text: Column, one) -> Column:
+    r"""one(token) of every non-empty token between `\` or `/`; null if there is none or one is null."""
     tokens = F.filter(F.transform(F.split(text, r"[\\/]"), lambda t: padded_trim(t)), lambda t: t != "")
-    values = F.transform(tokens, lambda t: t.try_cast(kind))
-    return F.when((F.size(tokens) > 0) & ~F.exists(values, lambda v: v.isNull()), values)
+    return bound(F.transform(tokens, one), lambda v: F.when((F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull()), v))
+
+
+def _numbers(text: Column, kind: str) -> Column:
+    return _tokens(text, lambda t: t.try_cast(kind))
 
 
 def to_doubles(text: Column) -> Column:
@@ -29,27 +38,22 @@ def to_doubles(text: Column) -> Column:
 WHOLE = 1e-9
 
 
-def _whole(text: Column, low: int, high: int, kind: str) -> Column:
-    tokens = F.filter(F.transform(F.split(text, r"[\\/]"), lambda t: padded_trim(t)), lambda t: t != "")
-
+def _whole(text: Column, kind: str) -> Column:
     def one(t: Column) -> Column:
-        decimal = t.try_cast("double")
-        near = F.when((F.abs(decimal - F.rint(decimal)) <= WHOLE) & (F.abs(decimal) < 2.0**63), F.rint(decimal).try_cast("bigint"))
-        value = F.coalesce(t.try_cast("bigint"), near)
-        return F.when(value.between(low, high), value).cast(kind)
+        near = bound(t.try_cast("double"), lambda d: F.when(F.abs(d - F.rint(d)) <= WHOLE, F.rint(d).try_cast(kind)))
+        return F.when(t.rlike("^[+-]?[0-9]+$"), t.try_cast(kind)).otherwise(near)
 
-    values = F.transform(tokens, one)
-    return F.when((F.size(tokens) > 0) & ~F.exists(values, lambda v: v.isNull()), values)
+    return _tokens(text, one)
 
 
 def to_longs(text: Column) -> Column:
     """Integers and decimals within 1e-9 of one; any other value makes the whole null."""
-    return _whole(text, -(2**63), 2**63 - 1, "bigint")
+    return _whole(text, "bigint")
 
 
 def to_ints(text: Column) -> Column:
     """As `to_longs`; a value beyond 32 bits makes the whole null."""
-    return _whole(text, -(2**31), 2**31 - 1, "int")
+    return _whole(text, "int")
 
 
 def to_double(text: Column) -> Column:

@@ -54,9 +54,9 @@ SELECT l_orderkey, l_linenumber, l_quantity AS first_value, CASE WHEN bad THEN N
 def q3_text_to_doubles(spark, d):
     line = table(spark, d, "lineitem")
     text = F.concat(F.lit(" "), F.col("l_quantity").cast("string"), F.lit("\\ "), F.col("l_discount").cast("string"), F.lit("/\\"), F.col("l_tax").cast("string"), F.when(F.col("l_returnflag") == "R", "\\x").otherwise(""))
-    v = coerce.to_doubles(text)
+    v = F.col("v")
     first = coerce.to_double(F.concat(F.col("l_quantity").cast("string"), F.lit("\\1")))
-    return line.select("l_orderkey", "l_linenumber", first.alias("first_value"), *(F.get(v, F.lit(i)).alias(f"v{i}") for i in range(3)), F.when(v.isNotNull(), F.size(v)).alias("n"))
+    return line.withColumn("v", coerce.to_doubles(text)).select("l_orderkey", "l_linenumber", first.alias("first_value"), *(F.get(v, F.lit(i)).alias(f"v{i}") for i in range(3)), F.when(v.isNotNull(), F.size(v)).alias("n"))
 
 
 @query(r"SELECT p_partkey, p_name AS s0, p_brand AS s1, p_type AS s2, 4 AS vm, '' AS s3 FROM part")

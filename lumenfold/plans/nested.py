@@ -61,8 +61,9 @@ def q57_decimals_as_integers(spark, d):
     r"""Decimals are integers if they are within 1e-9 of one; a fraction or a number out of range makes all null."""
     text = F.concat(F.col("l_quantity").cast("string"), F.lit("\\ "), F.col("l_partkey").cast("string"), F.when(F.col("l_linenumber") == 3, "\\0.5").otherwise(".0000000000"))
     small = F.concat(F.col("l_linenumber").cast("string"), F.when(F.col("l_linenumber") == 2, "00000000000").otherwise(".0"))
-    longs = coerce.to_longs(text)
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.get(longs, F.lit(0)).alias("first_value"), F.get(longs, F.lit(1)).alias("second_value"), F.get(coerce.to_ints(small), F.lit(0)).alias("in_range"))
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", coerce.to_longs(text).alias("longs"), small.alias("small"))
+    small = F.col("small")
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", F.get("longs", F.lit(0)).alias("first_value"), F.get("longs", F.lit(1)).alias("second_value"), F.get(coerce.to_ints(small), F.lit(0)).alias("in_range"))
 
 
 @query(r"""SELECT o_orderkey, o_orderkey % 4 <> 1 AS date_ok, o_orderkey % 4 <> 2 AS code_ok, length(o_orderpriority) <= 16 AS short_ok, o_orderkey % 4 <> 3 AS integer_ok FROM orders""")
