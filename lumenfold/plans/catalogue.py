@@ -311,11 +311,15 @@ def q37_record_round_trip(spark, d):
 @query("SELECT vec_id, 8 AS n_rows, 8 AS n_columns, list_sum(list_transform(embedding, lambda x: floor(x * 100) + 100))::BIGINT AS total, (floor(embedding[10] * 100) + 100)::BIGINT AS tenth FROM embeddings")
 def q38_rle_frames(spark, d):
     """Embeddings as 8 x 8 images of two bytes a sample, written natively, transcoded to RLE, decoded."""
+    return transcoded_images(spark, d, frames.RLE)
+
+
+def transcoded_images(spark, d, syntax):
     value = F.transform("embedding", lambda x: F.floor(x.cast("double") * 100) + 100)
     raw = F.unhex(F.array_join(F.transform(value, lambda v: F.concat(F.lpad(F.hex(v % 256), 2, "0"), F.lpad(F.hex(F.floor(v / 256)), 2, "0"))), ""))
     e = table(spark, d, "embeddings").select("vec_id", raw.alias("raw"), F.lit(8).alias("side"), F.lit(16).alias("bits"), F.lit(1).alias("one"))
     made = sink.build(e, "vec_id", {"Rows": "side", "Columns": "side", "BitsAllocated": "bits", "SamplesPerPixel": "one", "PixelData": "raw"})
-    f = frames.frames(frames.transcoded(made, frames.RLE))
+    f = frames.frames(frames.transcoded(made, syntax))
     sample = lambda i: F.conv(F.hex(F.substring(F.col("samples"), i * 2 + 1, F.lit(1))), 16, 10).cast("bigint") + 256 * F.conv(F.hex(F.substring(F.col("samples"), i * 2 + 2, F.lit(1))), 16, 10).cast("bigint")
     total = F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(63)), sample), F.lit(0).cast("bigint"), lambda a, v: a + v)
     return f.select(F.col("instance_id").cast("bigint").alias("vec_id"), "n_rows", "n_columns", total.alias("total"), sample(F.lit(9)).alias("tenth"))
@@ -363,10 +367,12 @@ def q42_display(spark, d):
     return e.select("vec_id", F.get(shown, F.lit(0)).alias("shown"))
 
 
-@query("SELECT n_nationkey AS label, count(c_custkey) AS n_frames, md5(coalesce(string_agg(c_custkey::VARCHAR, ',' ORDER BY c_custkey), '')) AS frames_md5 FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_custkey % 3 = 0 GROUP BY n_nationkey")
+@query("SELECT n_nationkey AS label, count(c_custkey) AS n_frames, md5(coalesce(string_agg(c_custkey::VARCHAR, ',' ORDER BY c_custkey), '')) AS frames_md5 FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey UNION ALL SELECT 99, 0, md5('')")
 def q43_segment_frames(spark, d):
-    segments = table(spark, d, "nation").select(F.col("n_nationkey").alias("label"))
-    found = table(spark, d, "customer").filter("c_custkey % 3 = 0").select(F.col("c_nationkey").alias("label"), F.col("c_custkey").alias("frame"))
+    """Every customer is a frame of its nation's segment; segment 99 has none."""
+    nations = table(spark, d, "nation").select(F.col("n_nationkey").alias("label"))
+    segments = nations.unionByName(spark.range(99, 100).select(F.col("id").cast(nations.schema["label"].dataType).alias("label")))
+    found = table(spark, d, "customer").select(F.col("c_nationkey").alias("label"), F.col("c_custkey").alias("frame"))
     return labels.segment_frames(segments, found, "label", "frame").select("label", "n_frames", F.md5(F.array_join(F.transform("frames", lambda f: f.cast("string")), ",").cast("binary")).alias("frames_md5"))
 
 

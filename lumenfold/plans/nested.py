@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import coerce, pixels, tags
 from ..operators import djson, elements, labels
-from ..sources import frames, jsonmodel, p10, records, sink
-from .catalogue import query, table
+from ..sources import frames, jpeg, jsonmodel, p10, records, sink
+from .catalogue import ORACLES, query, table, transcoded_images
 
 
 def _nested_records(customers: DataFrame) -> DataFrame:
@@ -173,3 +173,9 @@ def q68_tables_with_alpha(spark, d):
     grey = F.array(*map(F.lit, (0, 1, 2, 3)))
     colour = pixels.palette(F.col("label"), grey, grey, grey, F.lit(0), F.array(*map(F.lit, (255, 254, 253, 252))))
     return table(spark, d, "embeddings").select("vec_id", "label", entry["v"].alias("v"), entry["kind"].alias("kind"), colour["a"].alias("a"))
+
+
+@query(ORACLES["q38_rle_frames"])
+def q69_lossless_jpeg_frames(spark, d):
+    """The images of q38, by way of lossless JPEG."""
+    return transcoded_images(spark, d, jpeg.FIRST_ORDER)

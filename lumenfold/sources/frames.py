@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..functions.pixels import expand_segments, table_entries
-from . import p10
+from . import jpeg, p10
 from .batches import batched
 
 RLE = "1.2.840.10008.1.2.5"
@@ -114,7 +114,7 @@ def _rle(frame: bytes, at: Layout) -> bytes:
 
 
 #: Decoders of encapsulated frames by transfer syntax; others can be registered: (frame, layout) to interleaved samples.
-DECODERS: dict[str, Callable[[bytes, Layout], bytes]] = {RLE: _rle}
+DECODERS: dict[str, Callable[[bytes, Layout], bytes]] = {RLE: _rle, jpeg.LOSSLESS: jpeg.decoded, jpeg.FIRST_ORDER: jpeg.decoded}
 
 
 def register(uid: str, decode: Callable[[bytes, Layout], bytes] | None) -> None:
@@ -185,28 +185,34 @@ def sample_array(row_samples: bytes, sample_type: str, rows: int, columns: int,
 
 
 def transcode(content: bytes, syntax: str) -> bytes:
-    """The record written anew with another transfer syntax: native ones and RLE. Lossy history stays; RLE has separate colour planes."""
+    """The record written anew with another transfer syntax: native ones, RLE and lossless JPEG. Lossy history stays; RLE has separate colour planes."""
     parser = p10.Parser(content)
     found = list(parser.elements())
     if parser.error:
         raise p10.Broken(parser.error)
-    if syntax not in (*NATIVE, RLE):
+    packed = (RLE, jpeg.LOSSLESS, jpeg.FIRST_ORDER)
+    if syntax not in (*NATIVE, *packed):
         raise p10.Broken(f"no encoder for {syntax}")
     rows = [r for r in p10.nested(found) if r[0] >> 16 != 2]
     at = {e.tag: e for e in found if not e.depth}
     pixels = at.get(p10.PIXELS)
-    if pixels is None or (not pixels.fragments and syntax != RLE):
+    if pixels is None or (not pixels.fragments and syntax not in packed):
         return p10.write(rows, syntax)
     decoded = list(frames_of(content))
     how = decoded[0][1]
     rows = [r for r in rows if r[0] not in (p10.PIXELS, 0x00280006, 0x7FE00001, 0x7FE00002)]
     if how.samples > 1:
         rows.append((0x00280006, "US", [int(syntax == RLE)]))
-    if syntax != RLE:
+    if syntax not in packed:
         body = b"".join(s for _, _, s in decoded)
         return p10.write([*rows, (p10.PIXELS, "OB" if how.bits <= 8 else "OW", body)], syntax)
     if how.bits == 1:
-        raise p10.Broken("single bits have no RLE form")
+        raise p10.Broken("single bits have no encapsulated form")
+    if syntax != RLE:
+        if how.bits > 16:
+            raise p10.Broken(f"lossless JPEG holds no {how.bits} bits a sample")
+        made = [jpeg.encode(np.frombuffer(s, f"<u{how.bits // 8}").reshape(how.rows, how.columns, how.samples), how.bits) for _, _, s in decoded]
+        return p10.write([*rows, (p10.PIXELS, "OB", p10.Fragments(made))], syntax)
     planes = [np.frombuffer(s, f"<{how.kind}").reshape(-1, how.samples).T for _, _, s in decoded]
     return p10.write([*rows, (p10.PIXELS, "OB", p10.Fragments([p10.rle_encode([c.view(f"<u{c.itemsize}") for c in map(np.ascontiguousarray, x)]) for x in planes]))], RLE)
 
