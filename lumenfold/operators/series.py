@@ -82,6 +82,28 @@ def along_normal(slices: DataFrame, keys: list[str], origin: str, normal: str, o
     return out.withColumn("residual", G.norm(G.minus(d, G.scaled(F.col("_first.n"), F.col("position_along"))))).drop("_first")
 
 
+def multiframe_order(frames: DataFrame, keys: list[str], origin: str, axes: tuple[str, str], order: str, tolerance: float = 1e-4, off_axis: float = 1e-2) -> DataFrame:
+    """Adds position_along, frame_ordinal (from 0: by position along the first frame's normal, frames without a position last, ties in order) and order_error.
+
+    A record whose frames' axes differ by more than tolerance in any part, or whose positions lie further than off_axis from the normal through the first, is no stack: all its frames have the
+    error, and no ordinal. Without a first position frames stay in order and have no positions. Axes that are null count as those of the first frame.
+    """
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy(*keys)
+    first = F.first(F.struct(F.col(origin).alias("o"), F.col(axes[0]).alias("x"), F.col(axes[1]).alias("y"))).over(w.orderBy(order))
+    out = frames.withColumn("_0", first)
+    d, normal = G.minus(F.col(origin), F.col("_0.o")), G.unit(G.cross(F.col("_0.x"), F.col("_0.y")))
+    out = out.withColumn("position_along", F.when(F.col("_0.o").isNotNull() & F.col(origin).isNotNull(), G.dot(d, normal)))
+    turned = F.greatest(*(F.array_max(F.transform(G.minus(F.col(a), F.col(f"_0.{c}")), F.abs)) for a, c in zip(axes, "xy"))) > tolerance
+    aside = G.norm(G.minus(d, G.scaled(normal, F.col("position_along")))) > off_axis
+    has_origin = F.col("_0.o").isNotNull()
+    wrong = F.when(has_origin & turned, "orientations vary").when(has_origin & aside, "positions are off the axis")
+    out = out.withColumn("_wrong", wrong).withColumn("order_error", F.min("_wrong").over(w))
+    ordinal = F.row_number().over(w.orderBy(F.col("position_along").isNull(), "position_along", order)) - 1
+    return out.withColumn("frame_ordinal", F.when(F.col("order_error").isNull(), ordinal)).drop("_0", "_wrong")
+
+
 def issues(slices: DataFrame, keys: list[str], order: str, frame: str, size: tuple[str, str], spacing: tuple[str, str], axes: tuple[str, str]) -> DataFrame:
     """A row (keys, order, issue) for each way in which a slice differs from the first in order. A flipped axis differs, too."""
     from pyspark.sql import Window as W

@@ -53,9 +53,12 @@ def uniform_runs(slices: DataFrame, keys: list[str], position: str, tolerance: f
 
 
 def frame_lengths(offsets: DataFrame, keys: list[str], offset: str, end: str) -> DataFrame:
-    """Length of each frame: to the next offset, the last to the end."""
+    """Length of each frame: to the next offset, the last to the end; null, with a frame_error, where the end comes before the offset."""
     w = W.partitionBy(*keys).orderBy(offset)
-    return offsets.withColumn("frame_length", F.coalesce(F.lead(offset).over(w), F.col(end)) - F.col(offset))
+    length = F.coalesce(F.lead(offset).over(w), F.col(end)) - F.col(offset)
+    out = offsets.withColumn("frame_length", length)
+    wrong = F.col("frame_length") < 0
+    return out.withColumn("frame_error", F.when(wrong, "the end is before the offset")).withColumn("frame_length", F.when(~wrong, F.col("frame_length")))
 
 
 def groups(frames: DataFrame, keys: list[str], member: str, order: list[str]) -> DataFrame:

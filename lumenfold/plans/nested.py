@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import coerce, pixels, tags
-from ..operators import djson, elements, labels
+from ..functions import coerce, geometry, pixels, tags
+from ..operators import djson, elements, labels, series, stacks
 from ..sources import frames, jpeg, jsonmodel, p10, records, sink
 from .catalogue import ORACLES, query, table, transcoded_images
 
@@ -179,3 +179,24 @@ def q68_tables_with_alpha(spark, d):
 def q69_lossless_jpeg_frames(spark, d):
     """The images of q38, by way of lossless JPEG."""
     return transcoded_images(spark, d, jpeg.FIRST_ORDER)
+
+
+@query("""WITH f AS (SELECT l_orderkey, l_linenumber, l_quantity, l_tax >= 0.08 AS aside, l_discount >= 0.1 AS turned, l_linenumber::BIGINT * 1000000000 + l_partkey * 10000 + l_suppkey AS ord, l_tax, l_discount FROM lineitem),
+g AS (SELECT *, l_quantity - first(l_quantity) OVER w AS z, aside <> first(aside) OVER w AS off, turned <> first(turned) OVER w AS rot FROM f WINDOW w AS (PARTITION BY l_orderkey ORDER BY ord, l_quantity, l_tax, l_discount)),
+h AS (SELECT *, CASE WHEN bool_or(rot) OVER k THEN 'orientations vary' WHEN bool_or(off) OVER k THEN 'positions are off the axis' END AS order_error,
+ row_number() OVER (PARTITION BY l_orderkey ORDER BY z, ord, l_quantity, l_tax, l_discount) - 1 AS n FROM g WINDOW k AS (PARTITION BY l_orderkey))
+SELECT l_orderkey, l_linenumber, z AS position_along, order_error, CASE WHEN order_error IS NULL THEN n END::INTEGER AS frame_ordinal FROM h""")
+def q70_multiframe_order(spark, d):
+    """Lines of an order as its frames; some are turned or lie off the axis."""
+    line = F.struct(F.expr("l_linenumber * 1000000000L + l_partkey * 10000 + l_suppkey"), "l_quantity", "l_tax", "l_discount")
+    side, turned, vector = F.when(F.col("l_tax") >= 0.08, 1.0).otherwise(0.0), F.col("l_discount") >= 0.1, geometry.vector
+    axes = [F.when(turned, a).otherwise(b) for a, b in ((vector(0, 1, 0), vector(1, 0, 0)), (vector(-1, 0, 0), vector(0, 1, 0)))]
+    rows = table(spark, d, "lineitem").withColumns({"ord": line, "o": vector(side, F.lit(0.0), F.col("l_quantity").cast("double")), "x": axes[0], "y": axes[1]})
+    return series.multiframe_order(rows, ["l_orderkey"], "o", ("x", "y"), "ord").select("l_orderkey", "l_linenumber", "position_along", "order_error", "frame_ordinal")
+
+
+@query("""SELECT o_orderkey, k AS frame, CASE k WHEN 0 THEN 10 WHEN 1 THEN CASE WHEN o_custkey >= 10 THEN o_custkey - 10 END END::BIGINT AS frame_length, CASE WHEN k = 1 AND o_custkey < 10 THEN 'the end is before the offset' END AS frame_error FROM orders, (VALUES (0), (1)) AS t(k)""")
+def q71_falling_offsets(spark, d):
+    """Two frames an order, at 0 and 10 of as many bytes as the customer's number: too few for some."""
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").cast("long").alias("bytes"), F.explode(F.array(F.lit(0), F.lit(1))).alias("frame"))
+    return stacks.frame_lengths(o.withColumn("off", F.col("frame").cast("long") * 10), ["o_orderkey"], "off", "bytes").select("o_orderkey", "frame", "frame_length", "frame_error")

@@ -175,3 +175,16 @@ def test_syntaxes(spark, found):
     assert transcode.resolve("rle lossless") == frames.RLE and transcode.resolve("x") is None
     x = spark.range(1).select(transcode.lossy_history(F.array(F.lit("a"), F.lit("b")), F.array(F.lit(2.0)), F.lit("c"), F.lit(3.0)).alias("h"), transcode.colour_planes(F.lit(3), F.lit("rle"), F.lit(0)).alias("p")).first()
     assert x.h.methods == ["a", "c"] and x.h.ratios == [2.0, 3.0] and x.p == 1
+
+
+def test_multiframe_order(spark):
+    x, y, turned = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 1.0, 0.001]
+    rows = [("a", 0, [0.0, 0.0, 5.0], x, y), ("a", 1, None, x, y), ("a", 2, [0.0, 0.009, 1.0], x, y), ("a", 3, [0.0, 0.0, 5.0], None, None)]
+    rows += [("off", 0, [0.0, 0.0, 0.0], x, y), ("off", 1, [0.02, 0.0, 1.0], x, y), ("turned", 0, [0.0] * 3, x, y), ("turned", 1, [0.0, 0.0, 1.0], x, turned), ("none", 0, None, x, y), ("none", 1, [9.0, 9.0, -9.0], x, y)]
+    df = spark.createDataFrame(rows, "s string, k int, o array<double>, x array<double>, y array<double>")
+    found = {(r.s, r.k): (r.frame_ordinal, r.position_along, r.order_error) for r in series.multiframe_order(df, ["s"], "o", ("x", "y"), "k").collect()}
+    assert [found["a", k] for k in range(4)] == [(1, 0.0, None), (3, None, None), (0, -4.0, None), (2, 0.0, None)]
+    assert {found["off", k][::2] for k in range(2)} == {(None, "positions are off the axis")}
+    assert {found["turned", k][::2] for k in range(2)} == {(None, "orientations vary")}
+    assert [found["none", k] for k in range(2)] == [(0, None, None), (1, None, None)]
+    assert series.multiframe_order(df.limit(0), ["s"], "o", ("x", "y"), "k").count() == 0
