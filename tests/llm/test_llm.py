@@ -344,6 +344,18 @@ def test_matched_against_all_runs():
     assert some > 20
 
 
+def test_matched_equal_runs():
+    """An equal run is found whatever shingles stand twice in it and around it."""
+    rng, width = np.random.default_rng(1), 12
+    for _ in range(2000):
+        some = rng.integers(3, 40)
+        words = lambda low, high: rng.integers(1, some + 1, rng.integers(low, high))  # noqa: E731, B023
+        run = words(width, width + 4)
+        x, y = (np.concatenate([words(0, 30), run, words(0, 30)]).astype(np.uint64) for _ in range(2))
+        found = passages.matched(x, y, width, 0.8)
+        assert found and all(e - s >= width and q - p >= width for s, e, p, q in found)
+
+
 def near_passages(rng, pairs=60):
     """Rows of two documents a pair that share a passage edited to a similarity of 0.80 to 0.95, among others' words, and the pairs."""
     word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
@@ -396,6 +408,48 @@ def test_repeated_passages_near_copies_and_partitions(spark):
     assert all(r.class_id == min(x.doc_id for x in results[0] if x.class_id == r.class_id) for r in results[0])
 
 
+def drifting(rng, word):
+    """Families of texts, each an edited copy of the one before in its family, with ids in random order, behind texts with lower ids that share some words of a passage only."""
+    rows, ids = [], iter(rng.sample(range(1000, 3000), 400))
+    for family in range(25):
+        now = [word() for _ in range(rng.randint(60, 160))]
+        for k in range(20):
+            at = rng.randrange(len(now) - 20)
+            part = now[at : at + 20] if k % 4 == 0 else []
+            rows.append((40 * family + k, " ".join([word() for _ in range(60)] + part + [word() for _ in range(60)])))
+        for _ in range(14):
+            rows.append((next(ids), " ".join([word() for _ in range(rng.randint(0, 90))] + now + [word() for _ in range(rng.randint(0, 90))])))
+            now = list(now)
+            for at in rng.sample(range(len(now)), max(1, len(now) // 50)):
+                now[at] = word()
+    return rows
+
+
+def test_repeated_passages_unlike_least(spark, monkeypatch):
+    """Classes are those of all similar pairs, also of members of a group that are unlike its least document; in whole groups and in parts."""
+    rng = random.Random(23)
+    rows = drifting(rng, lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6)))
+    width = passages.PASSAGE - passages.SHINGLE + 1
+    tokens = {i: passages.shingle_tokens(texts_of(pa.array([text])))[0][:-1] for i, text in rows}
+    near = [(a, b) for a in tokens for b in tokens if a < b and len(np.intersect1d(tokens[a], tokens[b])) >= 41]
+    want = {(a, b) for a, b in near if passages.matched(tokens[a], tokens[b], width, 0.8)}
+    assert 300 < len(want) < len(near)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    results = []
+    for parts, group in ((1, 4096), (8, 4096), (8, 5)):
+        monkeypatch.setattr(passages, "GROUP", group)
+        results.append(sorted(passages.repeated_passages(df.repartition(parts)).collect()))
+    assert results[0] == results[1]
+    label = {a: a for a in tokens}
+    for _ in range(40):
+        for a, b in want:
+            label[a] = label[b] = min(label[a], label[b])
+    linked = {d for pair in want for d in pair}
+    for rows in results[1:]:
+        got = {r.doc_id: r.class_id for r in rows}
+        assert got == {d: label[d] for d in linked}
+
+
 def test_joined_by_key(spark, monkeypatch):
     from lumenfold.llm import graph
 
