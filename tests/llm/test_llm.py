@@ -450,6 +450,81 @@ def test_repeated_passages_unlike_least(spark, monkeypatch):
         assert got == {d: label[d] for d in linked}
 
 
+def test_repeated_passages_periodic(spark):
+    """A document whose one line or few lines go on and on repeats itself; so does one in which a word of the stretch is another."""
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    rows, want = [], {}
+    for i, (period, times) in enumerate([(30, 4), (1, 100), (7, 15), (60, 2), (60, 5), (30, 3), (50, 40), (1, 90), (25, 40)]):
+        line, edge = [word() for _ in range(period)], [word() for _ in range(20)]
+        inner = line * times
+        if i == 8:
+            inner[500] = word()
+        rows.append((i, " ".join([*edge, *inner, *(word() for _ in range(20))])))
+        if period * times - 4 >= period * -(-46 // period) + 46:
+            want[i] = (20, 20 + period * times)
+    assert set(want) == {0, 1, 2, 3, 4, 6, 8}
+    results = [sorted(passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()) for parts in (1, 8)]
+    assert results[0] == results[1]
+    got = {r.doc_id: r for r in results[0]}
+    assert set(want) <= set(got) and all(r.class_id == r.doc_id and r.n_links == 1 for r in got.values())
+    for i, (start, end) in want.items():
+        assert sum(min(s.end, end) - max(s.start, start) for s in got[i].spans) >= (end - start if i != 8 else 900), (i, got[i].spans)
+
+
+def test_periodic():
+    """A stretch of any period is found whole, if parts of it that don't overlap are equal."""
+    rng, width, some = np.random.default_rng(7), 9, 0
+    for _ in range(200):
+        texts, made = [], []
+        for _ in range(4):
+            period, times, edge = int(rng.integers(1, 25)), int(rng.integers(1, 12)), int(rng.integers(0, 20))
+            line = rng.integers(1, 2**60, period)
+            texts.append(np.concatenate([rng.integers(1, 2**60, edge), np.tile(line, times), rng.integers(1, 2**60, edge), [0]]))
+            made.append((edge, edge + period * times, -(-width // period) * period))
+        place = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        found = list(zip(*(v.tolist() for v in passages._periodic(np.concatenate(texts).astype(np.uint64), place, width))))
+        assert sorted(found) == [(i, a, b, d) for i, (a, b, d) in enumerate(made) if b - a >= d + width]
+        some += len(found)
+    assert some > 200
+
+
+def test_unlike_where_shingles_repeat(monkeypatch):
+    """Members of few different shingles: classes are those of all pairs, and of unlike pairs only few are compared."""
+    rng, width, compared, links, fewer = random.Random(3), 12, [0], 0, 0
+    matched = passages.matched
+
+    def counted(*given):
+        compared[0] += 1
+        return matched(*given)
+
+    for _ in range(60):
+        lists = []
+        for _ in range(12):
+            x = [w for _ in range(rng.randint(2, 5)) for w in [rng.randrange(1, 30)] * rng.choice([1, 1, 8, 15])]
+            lists.append(np.array([*x, *range(30, 34), *[rng.randrange(1, 6) for _ in range(rng.randint(8, 20))]], np.uint32))
+        members = [(k, 0, 0, len(x), x) for k, x in enumerate(lists)]
+        monkeypatch.setattr(passages, "matched", counted)
+        got = [(i, j) for i, j, _ in passages._unlike(members, [None] * len(members), width, 0.8)]
+        monkeypatch.setattr(passages, "matched", matched)
+        want = [(i, j) for i in range(12) for j in range(i) if matched(lists[i], lists[j], width, 0.8) or matched(lists[j], lists[i], width, 0.8)]
+        label = {}
+        for name, pairs in (("got", got), ("want", want)):
+            now = list(range(12))
+            for _ in range(12):
+                for i, j in pairs:
+                    now[i] = now[j] = min(now[i], now[j])
+            label[name] = now
+        assert label["got"] == label["want"]
+        links, fewer = links + len(want), fewer + 66
+    assert links > 100 and compared[0] < fewer / 2
+
+    junk = [np.array([k] * 90 + list(range(1000, 1003)) + [5000 + k], np.uint32) for k in range(1, 60)]
+    compared[0] = 0
+    monkeypatch.setattr(passages, "matched", counted)
+    assert not list(passages._unlike([(k, 0, 0, len(x), x) for k, x in enumerate(junk)], [None] * len(junk), 46, 0.8)) and compared[0] == 0
+
+
 def test_joined_by_key(spark, monkeypatch):
     from lumenfold.llm import graph
 
