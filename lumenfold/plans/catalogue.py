@@ -315,12 +315,16 @@ def q38_rle_frames(spark, d):
 
 
 def transcoded_images(spark, d, syntax):
-    value = F.transform("embedding", lambda x: F.floor(x.cast("double") * 100) + 100)
+    """Samples are signed and computed in the embeddings' own type, as SQL does: single precision may round a product up to the next whole number."""
+    rows = table(spark, d, "embeddings")
+    hundred = F.lit(100).cast(rows.schema["embedding"].dataType.elementType)
+    value = F.transform("embedding", lambda x: F.pmod(F.floor(x * hundred) + 100, F.lit(65536)))
     raw = F.unhex(F.array_join(F.transform(value, lambda v: F.concat(F.lpad(F.hex(v % 256), 2, "0"), F.lpad(F.hex(F.floor(v / 256)), 2, "0"))), ""))
-    e = table(spark, d, "embeddings").select("vec_id", raw.alias("raw"), F.lit(8).alias("side"), F.lit(16).alias("bits"), F.lit(1).alias("one"))
-    made = sink.build(e, "vec_id", {"Rows": "side", "Columns": "side", "BitsAllocated": "bits", "SamplesPerPixel": "one", "PixelData": "raw"})
+    e = rows.select("vec_id", raw.alias("raw"), F.lit(8).alias("side"), F.lit(16).alias("bits"), F.lit(1).alias("one"))
+    made = sink.build(e, "vec_id", {"Rows": "side", "Columns": "side", "BitsAllocated": "bits", "PixelRepresentation": "one", "SamplesPerPixel": "one", "PixelData": "raw"})
     f = frames.frames(frames.transcoded(made, syntax))
-    sample = lambda i: F.conv(F.hex(F.substring(F.col("samples"), i * 2 + 1, F.lit(1))), 16, 10).cast("bigint") + 256 * F.conv(F.hex(F.substring(F.col("samples"), i * 2 + 2, F.lit(1))), 16, 10).cast("bigint")
+    byte = lambda i: F.conv(F.hex(F.substring(F.col("samples"), i, F.lit(1))), 16, 10).cast("bigint")
+    sample = lambda i: byte(i * 2 + 1) + 256 * ((byte(i * 2 + 2) + 128) % 256 - 128)
     total = F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(63)), sample), F.lit(0).cast("bigint"), lambda a, v: a + v)
     return f.select(F.col("instance_id").cast("bigint").alias("vec_id"), "n_rows", "n_columns", total.alias("total"), sample(F.lit(9)).alias("tenth"))
 
