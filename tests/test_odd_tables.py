@@ -29,3 +29,8 @@ def images():
 def test_rle_frames_in_single_precision(spark, tmp_path):
     found, expected = both(spark, tmp_path, "q38_rle_frames", embeddings=images())
     assert found == expected and len(found) == 3
+
+
+def test_jpeg_frames_in_single_precision(spark, tmp_path):
+    found, expected = both(spark, tmp_path, "q69_lossless_jpeg_frames", embeddings=images())
+    assert found == expected and len(found) == 3
