@@ -66,14 +66,16 @@ def set_bits(frames: DataFrame, samples: str, label: str, slice_index: str, colu
     return flat.select(label, (F.col("i") % F.col("_n")).alias("x"), F.floor(F.col("i") / F.col("_n")).cast("int").alias("y"), "z")
 
 
-def volume(voxels: DataFrame, keys: list[str], label: str, overlap: str = "maybe", paint: list[str] = ()) -> DataFrame:
+def volume(voxels: DataFrame, keys: list[str], label: str, overlap: str = "maybe", paint: list[str] = (), first: list[str] = ()) -> DataFrame:
     """A row per voxel: keys, labels (sorted distinct), code. Codes number the distinct sets from 1 in order; 0 is the background, which has no row.
 
     overlap `no` makes a voxel of several labels keep the last painted: by the columns `paint` (say the source frame), or without them the largest label; `maybe` and `yes` keep all.
+    Of labels painted last at once the largest stays, or with the columns `first` (say the place in a file) the one that comes first by them; `paint` are numbers then.
     A code beyond 65,535 (null beyond 65,536) or a set beyond 128 labels is `over_limit`: sets are bounded by that format, voxels are not.
     """
     if overlap == "no":
-        sets = voxels.groupBy(*keys).agg(F.array(F.max_by(label, F.struct(*paint, label))).alias("labels"))
+        last = F.min_by(label, F.struct(*(-F.col(p) for p in paint), *first, label)) if first else F.max_by(label, F.struct(*paint, label))
+        sets = voxels.groupBy(*keys).agg(F.array(last).alias("labels"))
     else:
         sets = label_sets(voxels, keys, label)
     out = sets.join(F.broadcast(set_codes(sets)), "labels", "left")  # 65,536 sets at most

@@ -34,3 +34,13 @@ def test_rle_frames_in_single_precision(spark, tmp_path):
 def test_jpeg_frames_in_single_precision(spark, tmp_path):
     found, expected = both(spark, tmp_path, "q69_lossless_jpeg_frames", embeddings=images())
     assert found == expected and len(found) == 3
+
+
+def test_painted_labels_of_equal_frames(spark, tmp_path):
+    """Of lines of one number the first in the table stays, whatever its label."""
+    flags = ["A", "R", "N", "N", "R", "A", "R"]
+    lines = pa.table({
+        "l_suppkey": pa.array([1, 1, 1, 2, 2, 3, 3], pa.int64()), "l_orderkey": pa.array([5, 5, 4, 7, 7, 1, 1], pa.int64()), "l_linenumber": pa.array([2, 2, 2, 1, 1, 1, 2], pa.int32()), "l_returnflag": flags,
+    })
+    found, expected = both(spark, tmp_path, "q61_painted_labels", lineitem=lines)
+    assert found == expected and [r[1] for r in found] == ["A", "N", "R"]
