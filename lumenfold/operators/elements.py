@@ -14,16 +14,20 @@ def by_keyword(elements: DataFrame, keyword: str) -> DataFrame:
     return elements.filter((F.col("tag_hex") == F.lit(tag_of(keyword))) & (F.col("depth") == 0))
 
 
-def at_path(elements: DataFrame, path: str) -> DataFrame:
-    """Elements at `Sequence.item.Tag...`; keywords or written tags, items from 0."""
+def full_path(path: str) -> str:
+    """`Sequence.item.Tag...` of keywords or written tags, items from 0, as the column `path` has it."""
     parts = path.split(".")
     if len(parts) % 2 == 0 or any(not p.isdigit() for p in parts[1::2]):
         raise ValueError(f"bad path {path}")
     tags = [tag_of(p) for p in parts[::2]]
     if None in tags:
         raise ValueError(f"unknown tag in {path}")
-    full = ".".join(x for pair in zip(tags, [*parts[1::2], ""]) for x in pair if x != "")
-    return elements.filter(F.col("path") == full)
+    return ".".join(x for pair in zip(tags, [*parts[1::2], ""]) for x in pair if x != "")
+
+
+def at_path(elements: DataFrame, path: str) -> DataFrame:
+    """Elements at `Sequence.item.Tag...`; keywords or written tags, items from 0."""
+    return elements.filter(F.col("path") == full_path(path))
 
 
 def wide(elements: DataFrame, keywords: list[str], value: str = "text") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -23,11 +24,17 @@ def files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path).select(F.col("path").alias("instance_id"), "content")
 
 
-def _row(e: p10.Element, instance: str, ordinal: int) -> tuple:
+#: Columns that need an element's value decoded.
+VALUES = {"vm", "text", "strings", "longs", "doubles"}
+
+
+def _row(e: p10.Element, instance: str, ordinal: int, values: bool = True) -> tuple:
     known = lookup(e.tag_hex)
     text = strings = longs = doubles = None
     vm = 0
-    if e.raw is not None and e.vr in STRING_VRS:
+    if not values:
+        pass
+    elif e.raw is not None and e.vr in STRING_VRS:
         text = charset.decode(e.raw, e.charset, delimiters=b"\\^=" if e.vr == "PN" else b"\\") if e.vr in CHARSET_VRS else p10.decode_text(e.raw, "ISO_IR 100")
         if text is not None:
             text = text.strip("\0 ") if e.vr not in ("LT", "ST", "UT", "UC") else text.rstrip("\0 ")
@@ -39,35 +46,40 @@ def _row(e: p10.Element, instance: str, ordinal: int) -> tuple:
                 except ValueError:
                     doubles = longs = None
         vm = e.raw.count(b"\\") + 1 if e.raw else 0
-    elif e.raw is not None and (values := p10.numbers(e.raw, e.vr)) is not None:
-        vm = len(values)
-        doubles = values.astype("f8").tolist()
-        longs = values.tolist() if e.vr not in ("FL", "FD") and all(v < 2**63 for v in values.tolist()) else None
+    elif e.raw is not None and (numbers := p10.numbers(e.raw, e.vr)) is not None:
+        vm = len(numbers)
+        doubles = numbers.astype("f8").tolist()
+        longs = numbers.tolist() if e.vr not in ("FL", "FD") and all(v < 2**63 for v in numbers.tolist()) else None
     elif e.raw is not None:
         vm = 1 if e.raw else 0
     raw = e.raw if e.raw is not None else b"".join(e.fragments) if e.fragments else None
     return instance, e.path, e.depth, e.parent, e.item, ordinal, e.tag, e.tag_hex, known[0] if known else None, e.vr, vm, e.length, True, raw, text, strings, longs, doubles, None
 
 
-def elements(records: DataFrame, load_until: int | None = None, select: dict | None = None, keep_on_error: bool = True) -> DataFrame:
+def elements(records: DataFrame, load_until: int | None = None, select: dict | None = None, keep_on_error: bool = True, columns: list[str] | None = None) -> DataFrame:
     """Element rows of (instance_id, content), in preorder.
 
     A record that is broken gives the rows read so far and one row whose error says why; without keep_on_error it ends the job, unless
     nothing of it could be read. With `select`, a projection tree, other elements are skipped at every depth without being decoded; a sequence keeps its
-    own row. Null contents give one error row.
+    own row. Null contents give one error row. `columns` (two at least) names the columns that are to leave the worker, in any order; others are not made.
     """
     wanted = wanted_tree(select) if select is not None else None
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    schema = to_arrow_schema(StructType.fromDDL(ELEMENTS))
+    kind = StructType.fromDDL(ELEMENTS)
+    names = kind.names
+    if columns is not None:
+        kind = StructType([kind[c] for c in columns])
+    schema, picked, decoded = to_arrow_schema(kind), None if columns is None else itemgetter(*map(names.index, columns)), columns is None or not VALUES.isdisjoint(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from batched(schema, (row for batch in batches for instance, content in zip(batch.column(0).to_pylist(), batch.column(1)) for row in rows(instance, content.as_py())))
+        found = (row for batch in batches for instance, content in zip(batch.column(0).to_pylist(), batch.column(1)) for row in rows(instance, content.as_py()))
+        yield from batched(schema, found if picked is None else map(picked, found))
 
     def rows(instance: str, content: bytes | None) -> Iterator[tuple]:
         parser, n = p10.Parser(content or b"", load_until, wanted), 0
         for e in parser.elements():
-            yield _row(e, instance, n)
+            yield _row(e, instance, n, decoded)
             n += 1
         error = parser.error if content else "no content"
         if error is not None and (keep_on_error or not n):
@@ -75,7 +87,7 @@ def elements(records: DataFrame, load_until: int | None = None, select: dict | N
         elif error is not None:
             raise p10.Broken(f"{instance}: {error}")
 
-    return records.select("instance_id", "content").mapInArrow(run, ELEMENTS)
+    return records.select("instance_id", "content").mapInArrow(run, kind)
 
 
 def instances(found: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.coerce import LONGEST, SHAPES, WHOLE_VRS
 from ..functions.tags import CHARSET_VRS, STRING_VRS, lookup, tag_of
 from . import p10
-from .batches import batched
+from .batches import batched, spread
 
 
 def build(rows: DataFrame, instance: str, values: dict[str, str], syntax: str = p10.EXPLICIT, charset: str = "ISO_IR 192") -> DataFrame:
@@ -47,7 +47,7 @@ def build(rows: DataFrame, instance: str, values: dict[str, str], syntax: str =
             return name, None, str(e)
 
     columns = [F.col(c).alias(f"v{j}") for j, (_, _, c) in enumerate(known)]
-    return rows.select(F.col(instance).cast("string").alias("instance_id"), *columns).mapInArrow(run, "instance_id string, content binary, error string")
+    return spread(rows.select(F.col(instance).cast("string").alias("instance_id"), *columns)).mapInArrow(run, "instance_id string, content binary, error string")
 
 
 def valid(vr: str, value) -> str | None:

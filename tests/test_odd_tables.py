@@ -44,3 +44,43 @@ def test_painted_labels_of_equal_frames(spark, tmp_path):
     })
     found, expected = both(spark, tmp_path, "q61_painted_labels", lineitem=lines)
     assert found == expected and [r[1] for r in found] == ["A", "N", "R"]
+
+
+def customers(n):
+    names = [f"Customer#{k:09d}" for k in range(n)]
+    return pa.table({"c_custkey": pa.array(range(n), pa.int64()), "c_name": names, "c_nationkey": pa.array([k % 25 for k in range(n)], pa.int32()), "c_acctbal": [k / 4 for k in range(n)], "c_mktsegment": ["A", "B"] * (n // 2)})
+
+
+def workers(df):
+    """How many workers, and how many steps that deal rows, a plan has."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return plan.count("MapInArrow"), plan.count("Repartition")
+
+
+def test_paths_are_parsed_once_in_many_tasks(spark, tmp_path):
+    found, expected = both(spark, tmp_path, "q54_paths_in_items", customer=customers(20000))
+    assert found == expected
+    assert workers(__spark_entry__.queries()["q54_paths_in_items"](spark, str(tmp_path))) == (2, 1)
+
+
+def test_spread(spark, tmp_path):
+    """One row group's rows go to many tasks evenly; small, large and dealt tables stay as they are."""
+    from pyspark.sql import functions as F
+
+    from lumenfold.sources import batches
+
+    pq.write_table(customers(20000), f"{tmp_path}/customer.parquet")
+    rows = spark.read.parquet(f"{tmp_path}/customer.parquet")
+    sizes = [r["count"] for r in batches.spread(rows).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 4 and max(sizes) < 2 * 20000 / len(sizes) and sum(sizes) == 20000
+    assert batches.spread(batches.spread(rows)).rdd.getNumPartitions() == batches.spread(rows).rdd.getNumPartitions()
+    assert "Repartition" not in batches.spread(spark.range(10).toDF("k"))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_chosen_columns(spark):
+    from lumenfold.sources import p10, records
+
+    df = spark.createDataFrame([("a", p10.write([(0x00100010, "PN", "A^B"), (0x00280010, "US", [512])]))], "instance_id string, content binary")
+    every = records.elements(df)
+    for columns in (["path", "instance_id"], ["longs", "tag", "text", "vm"]):
+        assert records.elements(df, columns=columns).collect() == every.select(*columns).collect()
