@@ -91,17 +91,24 @@ def multiframe_order(frames: DataFrame, keys: list[str], origin: str, axes: tupl
     from pyspark.sql import Window as W
 
     w = W.partitionBy(*keys)
-    first = F.first(F.struct(F.col(origin).alias("o"), F.col(axes[0]).alias("x"), F.col(axes[1]).alias("y"))).over(w.orderBy(order))
-    out = frames.withColumn("_0", first)
-    d, normal = G.minus(F.col(origin), F.col("_0.o")), G.unit(G.cross(F.col("_0.x"), F.col("_0.y")))
-    out = out.withColumn("position_along", F.when(F.col("_0.o").isNotNull() & F.col(origin).isNotNull(), G.dot(d, normal)))
-    turned = F.greatest(*(F.array_max(F.transform(G.minus(F.col(a), F.col(f"_0.{c}")), F.abs)) for a, c in zip(axes, "xy"))) > tolerance
-    aside = G.norm(G.minus(d, G.scaled(normal, F.col("position_along")))) > off_axis
-    has_origin = F.col("_0.o").isNotNull()
-    wrong = F.when(has_origin & turned, "orientations vary").when(has_origin & aside, "positions are off the axis")
-    out = out.withColumn("_wrong", wrong).withColumn("order_error", F.min("_wrong").over(w))
-    ordinal = F.row_number().over(w.orderBy(F.col("position_along").isNull(), "position_along", order)) - 1
-    return out.withColumn("frame_ordinal", F.when(F.col("order_error").isNull(), ordinal)).drop("_0", "_wrong")
+    first = F.first(F.struct(F.col(origin).alias("o"), F.col(axes[0]).alias("x"), F.col(axes[1]).alias("y")))
+    out = frames.withColumns({"_0": first.over(w.orderBy(order)), "_at": F.row_number().over(w.orderBy(order))})
+    # numbers in columns of their own, step by step: nothing is computed again for each of its uses, and all of it is compiled
+    o, x, y = (F.col(f"_0.{c}") for c in "oxy")
+    three, n, u, d = range(3), *([F.col(f"_{c}{k}") for k in range(3)] for c in "nud")
+    out = out.withColumns({f"_n{k}": x[(k + 1) % 3] * y[(k + 2) % 3] - x[(k + 2) % 3] * y[(k + 1) % 3] for k in three} | {f"_d{k}": F.col(origin)[k] - o[k] for k in three})
+    out = out.withColumn("_n", F.sqrt(n[0] * n[0] + n[1] * n[1] + n[2] * n[2]))
+    out = out.withColumns({f"_u{k}": F.when(F.col("_n") <= G.EPSILON, 0.0).otherwise(n[k] * (1 / F.col("_n"))) for k in three})
+    out = out.withColumn("position_along", F.when(o.isNotNull() & F.col(origin).isNotNull(), d[0] * u[0] + d[1] * u[1] + d[2] * u[2]))
+    out = out.withColumns({f"_r{k}": d[k] - u[k] * F.col("position_along") for k in three})
+    turned = F.greatest(*(F.abs(F.col(a)[k] - f[k]) for a, f in zip(axes, (x, y)) for k in three)) > tolerance
+    aside = F.sqrt(sum((F.col(f"_r{k}") * F.col(f"_r{k}") for k in (1, 2)), F.col("_r0") * F.col("_r0"))) > off_axis
+    out = out.withColumn("_wrong", F.when(o.isNotNull() & turned, 1).when(o.isNotNull() & aside, 2))
+    out = out.select(*frames.columns, "position_along", "_wrong", "_at").withColumn("_wrong", F.min("_wrong").over(w))
+    ordinal = F.row_number().over(w.orderBy(F.col("position_along").isNull(), "position_along", "_at")) - 1
+    error = F.when(F.col("_wrong") == 1, "orientations vary").when(F.col("_wrong") == 2, "positions are off the axis")
+    out = out.withColumn("frame_ordinal", ordinal).withColumns({"order_error": error, "frame_ordinal": F.when(F.col("_wrong").isNull(), F.col("frame_ordinal"))})
+    return out.select(*frames.columns, "position_along", "order_error", "frame_ordinal")
 
 
 def issues(slices: DataFrame, keys: list[str], order: str, frame: str, size: tuple[str, str], spacing: tuple[str, str], axes: tuple[str, str]) -> DataFrame:

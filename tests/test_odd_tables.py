@@ -84,3 +84,17 @@ def test_chosen_columns(spark):
     every = records.elements(df)
     for columns in (["path", "instance_id"], ["longs", "tag", "text", "vm"]):
         assert records.elements(df, columns=columns).collect() == every.select(*columns).collect()
+
+
+def test_frame_order_has_no_repeated_work(spark):
+    """Parts of the normal are columns: the plan's text stays short, where it repeated them for each of their uses."""
+    from pyspark.sql import functions as F
+
+    from lumenfold.operators import series
+
+    three = lambda *v: F.array(*(F.lit(float(x)) for x in v))
+    rows = spark.range(6).select((F.col("id") % 2).alias("s"), F.col("id").alias("k"), F.array(F.lit(0.0), F.lit(0.0), (-F.col("id")).cast("double")).alias("o"), three(2, 0, 0).alias("x"), three(0, 2, 0).alias("y"))
+    out = series.multiframe_order(rows, ["s"], "o", ("x", "y"), "k")
+    assert out.columns == ["s", "k", "o", "x", "y", "position_along", "order_error", "frame_ordinal"] and dict(out.dtypes)["frame_ordinal"] == "int"
+    assert {(r.k, r.position_along, r.order_error, r.frame_ordinal) for r in out.collect()} == {(0, 0.0, None, 2), (2, -2.0, None, 1), (4, -4.0, None, 0), (1, 0.0, None, 2), (3, -2.0, None, 1), (5, -4.0, None, 0)}
+    assert len(out._jdf.queryExecution().optimizedPlan().toString()) < 8000
