@@ -71,15 +71,25 @@ def item_path(*pairs: tuple[Column, Column]) -> Column:
     return F.concat_ws(".", *(x for tag, item in pairs for x in (F.lpad(F.hex(tag), 8, "0"), item.cast("string"))))
 
 
+def under(prefix: str) -> Column:
+    """Whether an element lies under a path."""
+    return F.startswith(F.col("path"), F.lit(prefix + "."))
+
+
 def skip_under(elements: DataFrame, prefix: str) -> DataFrame:
     """A traversal that doesn't enter what lies under a path."""
-    return elements.filter(~F.startswith(F.col("path"), F.lit(prefix + ".")))
+    return elements.filter(~under(prefix))
+
+
+def before(condition: Column) -> Column:
+    """Whether a row of a traversal comes before the first that meets the condition, by instance."""
+    stop = F.min(F.when(condition, F.col("ordinal"))).over(W.partitionBy("instance_id"))
+    return stop.isNull() | (F.col("ordinal") < stop)
 
 
 def stop_before(elements: DataFrame, condition: Column) -> DataFrame:
     """Rows of a traversal before the first that meets the condition, by instance."""
-    stop = F.min(F.when(condition, F.col("ordinal"))).over(W.partitionBy("instance_id"))
-    return elements.withColumn("_stop", stop).filter(F.col("_stop").isNull() | (F.col("ordinal") < F.col("_stop"))).drop("_stop")
+    return elements.withColumn("_before", before(condition)).filter("_before").drop("_before")
 
 
 def overlay(base: DataFrame, changes: DataFrame, keys: list[str], value: str, deleted: str) -> DataFrame:

@@ -98,3 +98,9 @@ def test_frame_order_has_no_repeated_work(spark):
     assert out.columns == ["s", "k", "o", "x", "y", "position_along", "order_error", "frame_ordinal"] and dict(out.dtypes)["frame_ordinal"] == "int"
     assert {(r.k, r.position_along, r.order_error, r.frame_ordinal) for r in out.collect()} == {(0, 0.0, None, 2), (2, -2.0, None, 1), (4, -4.0, None, 0), (1, 0.0, None, 2), (3, -2.0, None, 1), (5, -4.0, None, 0)}
     assert len(out._jdf.queryExecution().optimizedPlan().toString()) < 8000
+
+
+def test_traversal_is_parsed_once_in_many_tasks(spark, tmp_path):
+    found, expected = both(spark, tmp_path, "q55_traversal", customer=customers(20000))
+    assert found == expected
+    assert workers(__spark_entry__.queries()["q55_traversal"](spark, str(tmp_path))) == (2, 1)
