@@ -334,7 +334,7 @@ def q39_json_records(spark, d):
     """Records as JSON and back."""
     made = sink.build(table(spark, d, "customer"), "c_custkey", {"PatientName": "c_name", "InstanceNumber": "c_nationkey", "StudyDescription": "c_mktsegment"})
     back = jsonmodel.from_json(jsonmodel.to_json(made))
-    w = elements.wide(records.elements(back), ["PatientName", "InstanceNumber", "StudyDescription"])
+    w = elements.wide(records.elements(back, columns=["instance_id", "depth", "tag_hex", "text"]), ["PatientName", "InstanceNumber", "StudyDescription"])
     return w.select(F.col("instance_id").cast("bigint").alias("c_custkey"), F.col("PatientName").alias("patient"), F.col("InstanceNumber").cast("int").alias("instance"), F.col("StudyDescription").alias("segment"))
 
 

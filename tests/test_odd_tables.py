@@ -113,3 +113,9 @@ def test_syntaxes_are_parsed_once_in_many_tasks(spark, tmp_path):
     found, expected = both(spark, tmp_path, "q60_syntaxes", customer=c)
     assert found == expected
     assert workers(__spark_entry__.queries()["q60_syntaxes"](spark, str(tmp_path))) == (8, 4)
+
+
+def test_json_records_in_many_tasks(spark, tmp_path):
+    found, expected = both(spark, tmp_path, "q39_json_records", customer=customers(20000))
+    assert found == expected
+    assert workers(__spark_entry__.queries()["q39_json_records"](spark, str(tmp_path))) == (4, 1)
