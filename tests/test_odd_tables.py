@@ -125,3 +125,15 @@ def test_selected_elements_in_many_tasks(spark, tmp_path):
     found, expected = both(spark, tmp_path, "q53_selected_elements", customer=customers(20000))
     assert found == expected
     assert workers(__spark_entry__.queries()["q53_selected_elements"](spark, str(tmp_path))) == (2, 1)
+
+
+def test_walk_parses_each_file_once(spark, tmp_path):
+    from lumenfold.sources import p10, records
+
+    found, expected = both(spark, tmp_path, "q63_walk", customer=customers(20000))
+    assert found == expected
+    plan = __spark_entry__.queries()["q63_walk"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert (plan.count("MapInArrow"), plan.count("Repartition"), plan.count("Join")) == (2, 1, 0)
+    whole = p10.write([(0x00100010, "PN", "A^B")])
+    files = spark.createDataFrame([("f/a", whole), ("f/b", whole[:-3]), ("f/c", None), ("d", b"")], "instance_id string, content binary")
+    assert {tuple(r) for r in records.walk(files).collect()} == {("f", 3, 1, 2, 11, 2 * len(whole) - 3), ("", 1, 0, 1, 0, 0)}
