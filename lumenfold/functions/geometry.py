@@ -82,13 +82,14 @@ def plane(origin: Column, axes: tuple, spacing: tuple, size: tuple) -> Column:
 
 
 def grid_to_world(grid: Column, index: Column) -> Column:
-    steps = F.transform(F.arrays_zip(index.alias("i"), grid["spacing"].alias("s"), grid["axes"].alias("a")), lambda x: F.transform(x["a"], lambda c: c * x["i"] * x["s"]))
-    return plus(grid["origin"], plus(steps[0], plus(steps[1], steps[2])))
+    """Numbers alone, no loops over arrays, so that it is compiled."""
+    step = lambda k, c: grid["axes"][k][c] * index[k] * grid["spacing"][k]
+    return F.array(*(grid["origin"][c] + (step(0, c) + (step(1, c) + step(2, c))) for c in range(3)))
 
 
 def grid_to_index(grid: Column, world: Column) -> Column:
     d = minus(world, grid["origin"])
-    return F.transform(F.arrays_zip(grid["axes"].alias("a"), grid["spacing"].alias("s")), lambda x: dot(d, x["a"]) / x["s"])
+    return F.when(grid.isNotNull(), F.array(*(dot(d, grid["axes"][k]) / grid["spacing"][k] for k in range(3))))
 
 
 def grid_to_grid(source: Column, target: Column, index: Column) -> Column:

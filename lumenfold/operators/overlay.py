@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..sources.batches import spread
 
 #: Names of the outcomes, as text (fixed values).
 STATUSES = "compatible missing_frame_of_reference different_frame_of_reference non_parallel_planes opposite_orientation out_of_plane different_spacing different_extent requires_resampling".split()
@@ -30,8 +31,9 @@ def check(
     """rows with a struct `overlay`: status, same_grid, overlaps, inside, requires_resampling, can_transform, can_direct, k_range.
 
     source and target name grid columns, source_frame and target_frame the UIDs of their frames of reference (null or empty: missing).
-    Steps are columns of their own, so that no expression is evaluated for each of its uses. Without a common frame nothing else is decided.
+    Steps are columns of their own, so that no expression is evaluated for each of its uses. Without a common frame nothing else is decided. Rows of narrow tables are dealt to all cores.
     """
+    rows = spread(rows)
     s, t = F.col(source), F.col(target)
     flat = 2 if source_flat or target_flat else 3  # axes whose extents must agree
     volume_source = target_flat and not source_flat

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import coerce, geometry, pixels, tags
 from ..operators import djson, elements, labels, overlay, remap, series, stacks, transcode
 from ..sources import frames, jsonmodel, p10, records, sink
+from ..sources.batches import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -316,7 +317,7 @@ def q38_rle_frames(spark, d):
 
 def transcoded_images(spark, d, syntax):
     """Samples are signed and computed in the embeddings' own type, as SQL does: single precision may round a product up to the next whole number."""
-    rows = table(spark, d, "embeddings")
+    rows = spread(table(spark, d, "embeddings").select("vec_id", "embedding"))
     hundred = F.lit(100).cast(rows.schema["embedding"].dataType.elementType)
     value = F.transform("embedding", lambda x: F.pmod(F.floor(x * hundred) + 100, F.lit(65536)))
     raw = F.unhex(F.array_join(F.transform(value, lambda v: F.concat(F.lpad(F.hex(v % 256), 2, "0"), F.lpad(F.hex(F.floor(v / 256)), 2, "0"))), ""))
@@ -347,7 +348,7 @@ def q40_overlay_grids(spark, d):
     source = geometry.plane(F.array((k % 2 * 9).cast("double"), F.lit(0.0), (s % 3).cast("double")), axes, (step, step), (n, n))
     target = geometry.plane(geometry.vector(0, 0, 0), axes, (1.0, 1.0), (4, 4))
     volume = geometry.volume(geometry.vector(0, 0, 0), (*axes, geometry.vector(0, 0, 1)), (1.0, 1.0, 2.0), (4, 4, 5))
-    rows = table(spark, d, "part").select("p_partkey", source.alias("source"), target.alias("target"), volume.alias("volume"), F.lit("1.2").alias("frame"))
+    rows = spread(table(spark, d, "part").select("p_partkey", "p_size")).select("p_partkey", source.alias("source"), target.alias("target"), volume.alias("volume"), F.lit("1.2").alias("frame"))
     flat = overlay.check(rows, "source", "target", "frame", "frame", True, True).withColumn("plane_status", F.col("overlay.status")).drop("overlay")
     return overlay.check(flat, "source", "volume", "frame", "frame", True, False).select("p_partkey", "plane_status", F.col("overlay.status").alias("volume_status"))
 

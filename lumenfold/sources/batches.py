@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 #: Rows and bytes of values after which a batch leaves the worker; one larger row is a batch of its own.
 ROWS, BYTES = 4096, 4 << 20
-#: Bytes of a table (columns of keys and names take a few a row) for one task, tasks a core, and bytes a core from which a table's own splits are enough.
+#: Bytes of a table's files (keys and names take a few a row) for one task, tasks a core, and bytes a core from which a table's own splits are enough.
 TASK_BYTES, TASKS, SPLIT_BYTES = 8 << 10, 4, 32 << 20
 
 
@@ -17,10 +17,11 @@ def spread(rows: DataFrame) -> DataFrame:
     """rows dealt evenly to as many tasks as costly work on each row needs.
 
     A narrow table has a million rows in one row group, which one task reads, so without this one core would do all the work on them. Tables beyond 32 MB a core have enough
-    splits of their own, and rows that were dealt once or come out of a worker are not dealt again: at most that much is shuffled.
+    splits of their own, and rows that were dealt once or come out of a worker are not dealt again. Best called before wide columns are computed, which would be shuffled.
     """
     plan = rows._jdf.queryExecution().optimizedPlan()
-    size, cores = int(plan.stats().sizeInBytes()), rows.sparkSession.sparkContext.defaultParallelism
+    leaves = plan.collectLeaves()
+    size, cores = sum(int(leaves.apply(k).stats().sizeInBytes()) for k in range(leaves.size())), rows.sparkSession.sparkContext.defaultParallelism
     if not TASK_BYTES < size < SPLIT_BYTES * cores or any(step in plan.toString() for step in ("Repartition", "MapInArrow")):
         return rows
     return rows.repartition(min(-(-size // TASK_BYTES), TASKS * cores))

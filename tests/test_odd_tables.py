@@ -137,3 +137,26 @@ def test_walk_parses_each_file_once(spark, tmp_path):
     whole = p10.write([(0x00100010, "PN", "A^B")])
     files = spark.createDataFrame([("f/a", whole), ("f/b", whole[:-3]), ("f/c", None), ("d", b"")], "instance_id string, content binary")
     assert {tuple(r) for r in records.walk(files).collect()} == {("f", 3, 1, 2, 11, 2 * len(whole) - 3), ("", 1, 0, 1, 0, 0)}
+
+
+def parts(n):
+    return pa.table({"p_partkey": pa.array(range(n), pa.int64()), "p_size": pa.array([k % 51 for k in range(n)], pa.int32())})
+
+
+def test_overlay_grids_are_compiled_and_dealt(spark, tmp_path):
+    """Corners and indexes are plain arithmetic; only what runs over the corners loops."""
+    found, expected = both(spark, tmp_path, "q40_overlay_grids", part=parts(20000))
+    assert found == expected
+    plan = __spark_entry__.queries()["q40_overlay_grids"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Repartition") == 1 and "arrays_zip" not in plan
+
+
+def test_grid_functions_without_a_grid(spark):
+    from pyspark.sql import functions as F
+
+    from lumenfold.functions import geometry as G
+
+    grid = G.volume(G.vector(1, 2, 3), (G.vector(0, 2, 0), G.vector(1, 0, 0), G.vector(0, 0, -1)), (2.0, 3.0, 4.0), (5, 6, 7))
+    rows = spark.range(2).select(F.when(F.col("id") == 0, grid).alias("g"), G.vector(1, 1, 2).alias("i"))
+    found = rows.select(G.grid_to_world(F.col("g"), F.col("i")).alias("w"), G.grid_to_index(F.col("g"), G.vector(4, 4, -5)).alias("i"), G.grid_contains(F.col("g"), F.col("i")).alias("c")).collect()
+    assert sorted(map(tuple, found), key=repr) == sorted([([4.0, 4.0, -5.0], [1.0, 1.0, 2.0], True), ([None] * 3, None, None)], key=repr)
